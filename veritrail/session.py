@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,7 @@ def local_session(cpus: int | str = 8, app: str = "veritrail", **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VERITRAIL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -31,8 +34,23 @@ def local_session(cpus: int | str = 8, app: str = "veritrail", **conf: str) -> S
     return spark
 
 
+_ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, unless they find it by PYTHONPATH or the working folder."""
+    context = spark.sparkContext
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if context.applicationId in _shipped or str(_ROOT) in map(os.path.realpath, filter(None, found)):
+        return
+    _shipped.add(context.applicationId)
+    context.addPyFile(shutil.make_archive(tempfile.mkdtemp() + "/veritrail", "zip", _ROOT, "veritrail"))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``directory``; columns are pruned by what is selected later."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
