@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritrail.llm import history, overlaps, splits, sql
+from veritrail.llm import encode, history, leaks, overlaps, splits, sql, subjects
 from veritrail.plans.registry import Registry
 from veritrail.session import checkpoint_folder, table
 
@@ -42,3 +43,45 @@ def p5_assigned(spark: SparkSession, directory: str) -> DataFrame:
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     tables = [table(spark, directory, name) for name in ("manifest", "quality_report", "manifest_batches")]
     return history.repeated_records(*tables, history.History(spark, _folder(spark, "history")))
+
+
+@registry.query()
+def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
+    return encode.encode(table(spark, directory, "documents"))
+
+
+@registry.query(sql=sql.P7_DECODED)
+def p7_decoded(spark: SparkSession, directory: str) -> DataFrame:
+    """Length and digest of each text after encoding and decoding."""
+    decoded = encode.decode(encode.encode(table(spark, directory, "documents")))
+    return decoded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("digest"))
+
+
+@registry.query()
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
+
+
+@registry.query()
+def p8_by_suite(spark: SparkSession, directory: str) -> DataFrame:
+    """Leaked items and affected documents of each suite."""
+    items = table(spark, directory, "eval_items")
+    found = leaks.leaks(table(spark, directory, "documents"), items)
+    names = items.select("item_id", "suite").distinct()
+    return found.join(names, "item_id").groupBy("suite").agg(F.count_distinct("item_id").alias("items"), F.count_distinct("doc_id").alias("documents"))
+
+
+def _areas(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return subjects.areas_of(documents, subjects.train(documents, *(table(spark, directory, name) for name in ("doc_labels", "subjects"))))
+
+
+@registry.query()
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _areas(spark, directory)
+
+
+@registry.query()
+def p9_composition(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents of each area; a document of two areas counts for both."""
+    return _areas(spark, directory).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))

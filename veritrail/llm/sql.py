@@ -35,3 +35,5 @@ m AS (SELECT DISTINCT record_id, b.batch_id, received_at, digest, phash FROM man
 JOIN b ON b.b = lower(trim(manifest.batch_id, {_BLANK})) LEFT JOIN q USING (record_id) WHERE record_id IS NOT NULL)
 SELECT DISTINCT x.batch_id, x.record_id FROM m x WHERE EXISTS (SELECT 1 FROM m y WHERE y.received_at < x.received_at
 AND (y.record_id = x.record_id OR y.digest = x.digest OR bit_count(xor(y.phash, x.phash)) <= 6))"""
+
+P7_DECODED = "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS digest FROM documents"
