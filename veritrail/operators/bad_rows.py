@@ -1,13 +1,11 @@
 """Loading delimited records by minimum-cost error parse.
 
 A record is read by an automaton over quotes, delimiters and other text. Dynamic programming
-finds the cheapest way to make the automaton accept the record with the wanted number of fields,
-by inserting or deleting quotes and delimiters. A record of cost zero has exactly one reading and
-loads if its values have the right types; the edits of any other record state why it does not.
-
-Edits that touch the quoting weigh more than all edits of free delimiters together can. As an
-edit of a delimiter next to a quote counts among the former, a record has a cost below
-``QUOTE_WEIGHT`` if and only if its quoting is sound, and the reason follows from the cost.
+finds the fewest insertions and deletions of quotes and delimiters after which the automaton reads
+the record as the wanted number of fields. A record of cost zero has exactly one reading and loads
+if its values have the right types. Of any other record the edits say what is wrong with it, and
+the reason is QUOTING unless it can be read without any edit as another number of fields: the
+automaton is deterministic, so the reading of cost zero over all numbers of fields is one pass.
 """
 
 from __future__ import annotations
@@ -31,7 +29,6 @@ MANIFEST_COLUMNS = (
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 
 QUOTING, COLUMN_COUNT = "QUOTING", "COLUMN_COUNT"
-QUOTE_WEIGHT = 1 << 32
 #: Records of more structural marks than this get their cost but no list of edits.
 TRACED_MARKS = 4096
 
@@ -64,37 +61,33 @@ def _sound_fields(marks: str) -> int:
     return 0 if state == _QUOTED else fields
 
 
-def _insertions(cost: np.ndarray, following: str) -> None:
-    """Relaxes ``cost[state, delimiters so far]`` by what may be inserted before ``following``."""
-    # an opening quote, a closing quote
-    np.minimum(cost[_QUOTED], cost[_START] + QUOTE_WEIGHT, out=cost[_QUOTED])
-    np.minimum(cost[_CLOSED], cost[_QUOTED] + QUOTE_WEIGHT, out=cost[_CLOSED])
-    # a delimiter; next to a quote that is unsound without it, it mends the quoting
-    plain = cost[_PLAIN] + (QUOTE_WEIGHT if following == '"' else 1)
-    closed = cost[_CLOSED] + (QUOTE_WEIGHT if following in '"x' and following else 1)
-    arrive = np.minimum(plain, closed)
-    start = cost[_START]
+def _insertions(cost: np.ndarray) -> None:
+    """Relaxes ``cost[state, delimiters so far]`` by what may be inserted before the next mark."""
+    start, quoted, closed = cost[_START], cost[_QUOTED], cost[_CLOSED]
+    # an opening quote and a closing one, then delimiters after a field, and quotes after those
+    np.minimum(quoted, start + 1, out=quoted)
+    np.minimum(closed, quoted + 1, out=closed)
+    arrive = np.minimum(cost[_PLAIN], closed) + 1
     np.minimum(start[1:], arrive[:-1], out=start[1:])
     index = np.arange(len(start))
     np.minimum(start, np.minimum.accumulate(start - index) + index, out=start)
-    np.minimum(cost[_QUOTED], start + QUOTE_WEIGHT, out=cost[_QUOTED])
-    np.minimum(cost[_CLOSED], cost[_QUOTED] + QUOTE_WEIGHT, out=cost[_CLOSED])
+    np.minimum(quoted, start + 1, out=quoted)
+    np.minimum(quoted, closed + 1, out=quoted)
+    np.minimum(closed, quoted + 1, out=closed)
 
 
-def _consume(cost: np.ndarray, mark: str, before: str, after: str) -> np.ndarray:
+def _consume(cost: np.ndarray, mark: str) -> np.ndarray:
     """The costs after ``mark`` is read, or deleted if it is a quote or a delimiter."""
     out = np.full_like(cost, _FAR)
     if mark == '"':
         out[_QUOTED] = np.minimum(cost[_START], cost[_CLOSED])
         out[_CLOSED] = cost[_QUOTED]
-        np.minimum(out, cost + QUOTE_WEIGHT, out=out)
+        np.minimum(out, cost + 1, out=out)
     elif mark == ",":
         out[_QUOTED] = cost[_QUOTED]
         outside = np.minimum(np.minimum(cost[_START], cost[_PLAIN]), cost[_CLOSED])
         out[_START, 1:] = outside[:-1]
-        delete = QUOTE_WEIGHT if '"' in (before, after) else 1
-        for state in (_START, _PLAIN, _CLOSED):
-            np.minimum(out[state], cost[state] + delete, out=out[state])
+        np.minimum(out, cost + 1, out=out)
     else:
         out[_QUOTED] = cost[_QUOTED]
         out[_PLAIN] = np.minimum(cost[_START], cost[_PLAIN])
@@ -110,66 +103,47 @@ def _edits(layers: list[tuple[np.ndarray, np.ndarray]], marks: str, state: int,
         at = relaxed[state, k]
         # undo insertions made before the mark at this position
         while at < arrived[state, k]:
-            following = marks[position] if position < len(marks) else ""
-            if state == _CLOSED and relaxed[_QUOTED, k] + QUOTE_WEIGHT == at:
-                state, what = _QUOTED, "insert quote"
-            elif state == _QUOTED and relaxed[_START, k] + QUOTE_WEIGHT == at:
-                state, what = _START, "insert quote"
-            else:
-                what = "insert delimiter"
-                for source, weight in (
-                    (_START, 1),
-                    (_PLAIN, QUOTE_WEIGHT if following == '"' else 1),
-                    (_CLOSED, QUOTE_WEIGHT if following in ('"', "x") else 1),
-                ):
-                    if k and relaxed[source, k - 1] + weight == at:
-                        state, k = source, k - 1
-                        break
-            found.append(f"{position}:{what}")
+            sources = {_START: (_PLAIN, _CLOSED, _START), _QUOTED: (_START, _CLOSED), _CLOSED: (_QUOTED,)}[state]
+            back = 1 if state == _START else 0
+            state = next(s for s in sources if k >= back and relaxed[s, k - back] + 1 == at)
+            k -= back
+            found.append(f"{position}:insert {'delimiter' if back else 'quote'}")
             at = relaxed[state, k]
         if not position:
-            break
+            return "; ".join(reversed(found))
         position -= 1
         mark, below = marks[position], layers[position][1]
-        before = marks[position - 1] if position else ""
-        after = marks[position + 1] if position + 1 < len(marks) else ""
-        for source in range(4):
-            for back in (0, 1) if k else (0,):
-                kept = np.full_like(below, _FAR)
-                kept[source, k - back] = below[source, k - back]
-                if _consume(kept, mark, before, after)[state, k] == at:
-                    break
-            else:
-                continue
-            break
+        for source, back in ((s, b) for b in (0, 1) for s in range(4) if k >= b):
+            kept = np.full_like(below, _FAR)
+            kept[source, k - back] = below[source, k - back]
+            if _consume(kept, mark)[state, k] == at:
+                break
         if at > below[source, k - back]:
             found.append(f"{position}:delete {'quote' if mark == chr(34) else 'delimiter'}")
         state, k = source, k - back
-    return "; ".join(reversed(found))
 
 
 @lru_cache(maxsize=1 << 16)
-def error_parse(marks: str, columns: int) -> tuple[int, str]:
-    """Least cost of reading ``marks`` as ``columns`` fields, and the edits that reach it."""
-    if _sound_fields(marks) == columns:
-        return 0, ""
+def error_parse(marks: str, columns: int) -> tuple[int, bool, str]:
+    """The fewest edits to read ``marks`` as ``columns`` fields, whether the quoting is sound as it
+    is, and the edits."""
+    sound = _sound_fields(marks)
+    if sound == columns:
+        return 0, True, ""
     traced = len(marks) <= TRACED_MARKS
     cost = np.full((4, columns), _FAR)
     cost[_START, 0] = 0
     layers: list[tuple[np.ndarray, np.ndarray]] = []
     for position in range(len(marks) + 1):
-        mark = marks[position] if position < len(marks) else ""
         arrived = cost.copy() if traced else cost
-        _insertions(cost, mark)
+        _insertions(cost)
         if traced:
             layers.append((arrived, cost))
-        if mark:
-            before = marks[position - 1] if position else ""
-            after = marks[position + 1] if position + 1 < len(marks) else ""
-            cost = _consume(cost, mark, before, after)
+        if position < len(marks):
+            cost = _consume(cost, marks[position])
     state = min((_START, _PLAIN, _CLOSED), key=lambda s: cost[s, columns - 1])
     least = int(cost[state, columns - 1])
-    return least, _edits(layers, marks, state, columns - 1) if traced else "more marks than are traced"
+    return least, sound > 0, _edits(layers, marks, state, columns - 1) if traced else "more marks than are traced"
 
 
 def _split_sound(line: str) -> list[str]:
@@ -198,22 +172,23 @@ def _split_sound(line: str) -> list[str]:
         at += 1
 
 
-_PARSED = T.StructType([T.StructField("cost", T.LongType()), T.StructField("edits", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+_PARSED = T.StructType(
+    [T.StructField("cost", T.LongType()), T.StructField("sound", T.BooleanType()), T.StructField("edits", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))]
+)
 
 
 def parsed(line: Column, columns: int) -> Column:
-    """Struct of cost, edits and, at cost zero, the fields of a record. A null line is an empty one."""
+    """Struct of cost, soundness of the quoting, edits and, at cost zero, the fields of a record. A null
+    line is an empty one."""
 
     @F.pandas_udf(_PARSED)
     def parse(lines: pd.Series) -> pd.DataFrame:
-        costs, edits, fields = [], [], []
+        found = []
         for text in lines:
             text = text or ""
-            cost, edit = error_parse(structure(text), columns)
-            costs.append(cost)
-            edits.append(edit)
-            fields.append(None if cost else _split_sound(text))
-        return pd.DataFrame({"cost": costs, "edits": edits, "fields": fields})
+            cost, sound, edits = error_parse(structure(text), columns)
+            found.append((cost, sound, edits, None if cost else _split_sound(text)))
+        return pd.DataFrame(found, columns=["cost", "sound", "edits", "fields"])
 
     return parse(line)
 
@@ -252,7 +227,7 @@ def _read(raw: DataFrame, id_column: str, line_column: str, columns: tuple[str,
     value = {c: F.btrim(F.col("_read.fields").getItem(i), F.lit(" \t")) for i, c in enumerate(columns)}
     typed = [F.when(~F.coalesce(good(value[c]), F.lit(False)), F.lit(reason)) for reason, (c, good) in checks.items()]
     reasons = (
-        F.when(F.col("_read.cost") >= QUOTE_WEIGHT, F.array(F.lit(QUOTING)))
+        F.when(~F.col("_read.sound"), F.array(F.lit(QUOTING)))
         .when(F.col("_read.cost") > 0, F.array(F.lit(COLUMN_COUNT)))
         .otherwise(F.array_compact(F.array(*typed)))
     )
