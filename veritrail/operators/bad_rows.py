@@ -181,7 +181,6 @@ def parsed(line: Column, columns: int) -> Column:
     """Struct of cost, soundness of the quoting, edits and, at cost zero, the fields of a record. A null
     line is an empty one."""
 
-    @F.pandas_udf(_PARSED)
     def parse(lines: pd.Series) -> pd.DataFrame:
         found = []
         for text in lines:
@@ -190,7 +189,8 @@ def parsed(line: Column, columns: int) -> Column:
             found.append((cost, sound, edits, None if cost else _split_sound(text)))
         return pd.DataFrame(found, columns=["cost", "sound", "edits", "fields"])
 
-    return parse(line)
+    # or else the optimizer parses again for each condition that it moves down
+    return F.pandas_udf(parse, _PARSED).asNondeterministic()(line)
 
 
 def good_record_id(value: Column) -> Column:
