@@ -33,23 +33,18 @@ HELD_OUT, OWN_THRESHOLD = 4, 60
 
 _TAG = re.compile(r"</?\s*(p|br|li|div|ul|ol|h\d|tr|td)\b[^<>]*>", re.I)
 _OTHER_TAG = re.compile(r"<[^<>]{0,200}>")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]»”]*\s+|(?<=[。！？])")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[.!?][\"')\]»”])\s+|(?<=。)")
 _UNIT = re.compile("[぀-ヿ㐀-鿿豈-﫿]|[^\\W\\d_぀-ヿ㐀-鿿豈-﫿]+|\\d+")
-_ENTRY = re.compile(r"^\s*[\w ]{1,24}[:=]\s*\S+(\s*[|;]|\s*$)")
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text: stretches that end as a sentence does. Lines of a dump, entries and
-    headings have no such end and are none; an entry before a sentence is cut off."""
+    headings have no such end and are none; one before a sentence stays with it."""
     text = _OTHER_TAG.sub("", _TAG.sub("\n", text)) if "<" in text else text
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    out = []
-    for part in _SENTENCE.split(text):
-        part = part.strip()
-        if part and part[-1] in ".!?。！？\"')]»”":
-            out.append(part)
-    return out
+        text = unicodedata.normalize("NFKC", text.replace("！", "。").replace("？", "。"))
+    parts = map(str.strip, _SENTENCE.split(text))
+    return [part for part in parts if part and part[-1] in ".!?。\"')]»”"]
 
 
 class Hasher:
