@@ -146,7 +146,8 @@ class History:
 
         positive = self.spark.read.schema(f"{layout}, bits binary").parquet(f"{self.folder}/screen/wave-{now}").where(F.col("kind") >= 0)
         store = self._read("prints", layout).select("kind", "key", F.col("value").alias("old"), F.col("seq").alias("earlier"))
-        positive, store = blocked(positive.select("kind", "key", "value", "seq"), store, ["kind", "key"])
+        # blocks follow the wave's own counts, so history is not counted again
+        store, positive = blocked(store, positive.select("kind", "key", "value", "seq"), ["kind", "key"])
         matches = positive.join(store, ["kind", "key", "block"]).where(F.col("earlier") < F.col("seq"))
         covered = (image & close(F.col("value"), F.col("old"))) | (~image & (F.col("value") == F.col("old")))
         name = F.when(image, F.lit(0).cast("long")).otherwise(F.col("key")).alias("name")
