@@ -39,14 +39,14 @@ def roots(links: DataFrame) -> DataFrame:
     links, known = cut(ordered(links)), None
     while not links.isEmpty():
         # hook: every node that has a smaller neighbour points to the smallest
-        up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        # jump: pointers double their reach until all lead to roots
-        while True:
-            up = cut(up)
+        up = cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        # jump: pointers double their reach until none moves
+        moved = True
+        while moved:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            if up.join(above, "root", "left_semi").isEmpty():
-                break
-            up = up.join(above, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+            up = cut(up.join(above, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+            moved = not up.where("moved").isEmpty()
+            up = up.drop("moved")
         if known is None:
             known = up
         else:
@@ -97,23 +97,26 @@ class ComponentTable:
         return last.join(gone, "root", "left_anti")
 
     def add(self, records: DataFrame, proportions: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-        """Adds a batch of (record, node, split): one row for each identifier of a record, among
-        them the record itself, with the split it was delivered with or null. Returns (record,
-        root, split, state): state is kept, filled or quarantined, and split is null for the last.
+        """Adds a batch of (record, node, own, split): one row for each identifier of a record, among
+        them its own, with the split it was delivered with or null. Returns (record, root, split,
+        state): state is kept, filled or quarantined, and split is null for the last.
         """
         proportions = proportions or PROPORTIONS
         records = cut(records)
         nodes = records.select("node").distinct()
         old = cut(nodes.join(self.members(), "node"))
-        place = nodes.join(old, "node", "left").select("node", F.coalesce("root", "node").alias("at"))
-        at = cut(records.join(place, "node").select("record", "split", "node", "at"))
-
-        # a record links all its nodes: each to the smallest
-        centre = at.groupBy("record").agg(F.min("at").alias("a"), F.max("at").alias("b")).where(F.col("a") != F.col("b")).select("record", "a")
-        links = at.join(centre, "record").select("a", F.col("at").alias("b"))
+        at = records.join(old.withColumnRenamed("root", "held"), "node", "left")
+        at = cut(at.select("record", "split", "node", F.coalesce("held", "node").alias("at"), (~F.col("own") | F.col("held").isNotNull()).alias("shared")))
+
+        # what a record shares with others is linked to the smallest of it; all its nodes are one
+        shared = F.when(F.col("shared"), F.col("at"))
+        centre = cut(at.groupBy("record").agg(F.coalesce(F.min(shared), F.min("at")).alias("a"), F.max(shared).alias("b")))
+        several = centre.where(F.col("a") != F.col("b")).select("record", "a")
+        links = at.where("shared").join(several, "record").select("a", F.col("at").alias("b"))
         up = cut(roots(links))
-        jump = up.select(F.col("node").alias("at"), F.col("root").alias("to"))
-        at = cut(at.join(jump, "at", "left").select("record", "split", "node", F.coalesce("to", "at").alias("root"), "at"))
+        jump = up.select(F.col("node").alias("a"), F.col("root").alias("to"))
+        own = centre.join(jump, "a", "left").select("record", F.coalesce("to", "a").alias("root"))
+        at = cut(at.join(own, "record").select("record", "split", "node", "root", "at"))
 
         states = self.states()
         held = at.select("root", "at").distinct().join(states.withColumnRenamed("root", "at"), "at").select("root", F.col("split").alias("kept"), F.col("records").alias("before"))
@@ -171,22 +174,23 @@ def _window(partition: str | None, order: str) -> WindowSpec:
 
 
 def manifest_links(manifest: DataFrame) -> DataFrame:
-    """(record, node, split) of a manifest: each record with itself, its package and its sequence.
+    """(record, node, own, split) of a manifest: each record with itself, its package and its sequence.
 
     Null and blank identifiers and the stand-ins of missing ones link nothing; rows without a
     record_id are left out; unassigned and unknown splits are null.
     """
     split = F.lower(trimmed(F.col("split")))
-    node = lambda kind, value: F.when(value.isNotNull(), _node(kind, value))
+    node = lambda kind, value, own: F.when(value.isNotNull(), F.struct(_node(kind, value).alias("node"), F.lit(own).alias("own")))
     nodes = F.array_compact(
         F.array(
-            node("record:", F.col("record_id")),
-            node("package:", linking_identifier(F.col("package_id"))),
-            node("sequence:", linking_identifier(F.col("sequence_id"))),
+            node("record:", F.col("record_id"), True),
+            node("package:", linking_identifier(F.col("package_id")), False),
+            node("sequence:", linking_identifier(F.col("sequence_id")), False),
         )
     )
     rows = manifest.where(F.col("record_id").isNotNull())
-    return rows.select(F.col("record_id").alias("record"), F.explode(nodes).alias("node"), F.when(split.isin(*PROPORTIONS), split).alias("split")).distinct()
+    rows = rows.select(F.col("record_id").alias("record"), F.explode(nodes).alias("n"), F.when(split.isin(*PROPORTIONS), split).alias("split"))
+    return rows.select("record", "n.node", "n.own", "split").distinct()
 
 
 def assigned(manifest: DataFrame, table: ComponentTable, proportions: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
