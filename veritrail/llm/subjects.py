@@ -30,6 +30,8 @@ SHARE = 0.25
 #: One in so many sampled documents is kept out of the first fits to calibrate thresholds on; an area
 #: with this many of them gets its own threshold.
 HELD_OUT, OWN_THRESHOLD = 4, 60
+#: Rounds of the first fit and of the one that follows, and of the last, which begins where that ended.
+COARSE, FINE = 12, 25
 
 _TAG = re.compile(r"</?\s*(p|br|li|div|ul|ol|h\d|tr|td)\b[^<>]*>", re.I)
 _OTHER_TAG = re.compile(r"<[^<>]{0,200}>")
@@ -116,49 +118,48 @@ class Model:
         return table / np.maximum(table.sum(axis=1, keepdims=True), 1)
 
 
-def _fit(features: np.ndarray, owner: np.ndarray, targets: np.ndarray, weight: np.ndarray, rounds: int = 30, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _fit(
+    features: np.ndarray, owner: np.ndarray, targets: np.ndarray, rounds: int, start: Model | None = None, rate: float = 0.5, ridge: float = 1e-7
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of logistic regressions, one for each column of ``targets``, by full
-    gradients with adaptive steps."""
+    gradients with adaptive steps, from those of ``start`` on."""
     count, areas = targets.shape
     sizes = np.sqrt(np.maximum(np.bincount(owner, minlength=count), 1)).astype(np.float32)
     by_owner = np.argsort(owner, kind="stable")
-    f_own, own = features[by_owner], owner[by_owner]
-    filled, own_at = np.unique(own, return_index=True)
+    filled, own_at = np.unique(owner[by_owner], return_index=True)
     by_feature = np.argsort(features, kind="stable")
     used, at = np.unique(features[by_feature], return_index=True)
     owners = owner[by_feature]
-    local = np.searchsorted(used, f_own)
-    w, b = np.zeros((len(used), areas), np.float32), np.zeros(areas, np.float32)
+    local = np.searchsorted(used, features[by_owner])
+    out = np.zeros((FEATURES, areas), np.float32) if start is None else start.weights.copy()
+    w, b = out[used], np.zeros(areas, np.float32) if start is None else start.bias.astype(np.float32)
     gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     for _ in range(rounds):
         z = np.zeros((count, areas), np.float32)
         z[filled] = np.add.reduceat(w[local], own_at, axis=0)
-        p = 1 / (1 + np.exp(-np.clip(z / sizes[:, None] + b, -30, 30)))
-        error = (p - targets) * weight[:, None]
-        slope = np.add.reduceat((error / sizes[:, None])[owners], at, axis=0) + ridge * count * w / 1000
+        error = 1 / (1 + np.exp(-np.clip(z / sizes[:, None] + b, -30, 30))) - targets
+        slope = np.add.reduceat((error / sizes[:, None])[owners], at, axis=0) + ridge * count * w
         gw += slope**2
         w -= rate * slope / np.sqrt(gw)
         whole = error.sum(axis=0)
         gb += whole**2
         b -= rate * whole / np.sqrt(gb)
-    out = np.zeros((FEATURES, areas), np.float32)
     out[used] = w
     return out, b
 
 
-def _sharpened(features: np.ndarray, owner: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fits to all areas of the sentence's document, then to the one that scores best."""
-    flat = np.ones(len(targets), np.float32)
-    w, b = _fit(features, owner, targets / np.maximum(targets.sum(axis=1, keepdims=True), 1), flat)
-    model = Model([""] * targets.shape[1], w, b, np.zeros(targets.shape[1]))
+def _sharp(model: Model, features: np.ndarray, owner: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Each sentence's best area instead of all those of its document. A sentence whose best area is
+    none of its document's treats it in passing, if it is sure, and else it treats none. One that
+    scores little better than any sentence would is a remark and treats none either."""
     scores = model.scores(features, owner, len(targets))
-    best = scores.argmax(axis=1)
-    row = np.arange(len(best))
-    # a sentence whose best area is none of its document's treats it in passing, if it is sure
-    sure = (targets[row, best] > 0) & (scores[row, best] > 0.25) | (scores[row, best] > 0.5)
+    best, row = scores.argmax(axis=1), np.arange(len(targets))
+    usual = (targets / np.maximum(targets.sum(axis=1, keepdims=True), 1)).mean(axis=0)
+    least = np.clip(1.5 * usual, 0.25, 0.5)[best]
+    sure = scores[row, best] > np.where(targets[row, best] > 0, least, 0.5)
     sharp = np.zeros_like(targets)
     sharp[row[sure], best[sure]] = 1
-    return _fit(features, owner, sharp, flat)
+    return sharp
 
 
 def _agreement(shares: np.ndarray, labels: np.ndarray) -> float:
@@ -176,14 +177,20 @@ def fit(texts: list[str], labels: list[set[str]], areas: list[str]) -> Model:
     document = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     wanted = np.array([[a in own for a in areas] for own in labels])
     features, owner = Hasher().features(flat)
+    # an n-gram of one document says nothing about others
+    seen = np.unique(features * len(parts) + document[owner]) // len(parts)
+    common = np.isin(features, np.flatnonzero(np.bincount(seen, minlength=FEATURES) > 1))
+    features, owner = features[common], owner[common]
     targets = wanted[document].astype(np.float32)
     held = np.arange(len(parts)) % HELD_OUT == 0
-    keep = ~held[document][owner]
-    w, b = _sharpened(features[keep], owner[keep], targets)
-    model = Model(areas, w, b, np.full(len(areas), 0.5))
+    rows = ~held[document]
+    keep = rows[owner]
+    own = features[keep], (np.cumsum(rows) - 1)[owner[keep]]
+    half, first = np.full(len(areas), 0.5), targets[rows]
+    model = Model(areas, *_fit(*own, first / np.maximum(first.sum(axis=1, keepdims=True), 1), COARSE), half)
+    model = Model(areas, *_fit(*own, _sharp(model, *own, first), FINE), half)
     rest = np.flatnonzero(held[document])
-    out = held[document][owner]
-    scores = model.scores(features[out], np.searchsorted(rest, owner[out]), len(rest))
+    scores = model.scores(features[~keep], np.searchsorted(rest, owner[~keep]), len(rest))
     grid = np.arange(0.1, 0.91, 0.05)
 
     def agreement(thresholds: np.ndarray) -> float:
@@ -194,7 +201,8 @@ def fit(texts: list[str], labels: list[set[str]], areas: list[str]) -> Model:
     for area in np.flatnonzero(wanted[held].sum(axis=0) >= OWN_THRESHOLD):
         each = [np.where(np.arange(len(areas)) == area, t, thresholds) for t in grid]
         thresholds = max(each, key=lambda t: (agreement(t), -abs(t[area] - thresholds[area])))
-    w, b = _sharpened(features, owner, targets)
+    model.thresholds = thresholds
+    w, b = _fit(features, owner, _sharp(model, features, owner, targets), COARSE, model)
     return Model(areas, w, b, thresholds)
 
 
