@@ -83,6 +83,24 @@ def test_empty_tables(spark, items):
     assert found(spark, ["some text"], []) == set()
 
 
+def test_stretches_hold_every_passage():
+    rng = random.Random(3)
+    for _ in range(300):
+        size = rng.randrange(5, 40)
+        places = np.array(sorted(rng.randrange(3000) for _ in range(rng.randrange(1, 60))))
+        windows = leaks.stretches(places, size, 3)
+        assert all(high - low <= 8 * size for low, high in windows)
+        for place in places:
+            low = max(0, int(place) - size // 2)
+            assert any(a <= low and low + size <= b for a, b in windows)
+
+
+def test_long_text_full_of_seeds(spark, items):
+    seeds = " ".join(passage(items, 9).split()[:6])
+    text = (seeds + " und ") * 20_000 + passage(items, 9) + (" und " + seeds) * 20_000
+    assert found(spark, [text], items) == {(0, 9)}
+
+
 def test_alignment_is_that_of_the_plain_recurrence():
     rng = np.random.default_rng(0)
     for _ in range(60):

@@ -164,6 +164,23 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return matches, bottom - i, right - j
 
 
+def stretches(places: np.ndarray, size: int, seed: int) -> list[tuple[int, int]]:
+    """Where a passage of ``size`` units may stand, given the places of its seeds: around seeds no
+    further apart than a passage is long, in windows of eight passages that overlap by two, so that
+    texts of any length are aligned whole and in bounded memory."""
+    places = np.unique(places)
+    breaks = np.flatnonzero(np.diff(places) > size)
+    out = []
+    for low, high in zip(places[np.append(0, breaks + 1)].tolist(), places[np.append(breaks, len(places) - 1)].tolist()):
+        low, high = max(0, low - size), high + seed + size
+        while True:
+            out.append((low, min(high, low + 8 * size)))
+            if low + 8 * size >= high:
+                break
+            low += 6 * size
+    return out
+
+
 def search(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, matches, stretch of the passage, stretch of the text) of every pair with enough
     seeds. All plain texts are looked up at once."""
@@ -194,9 +211,8 @@ def search(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int,
         t, i = divmod(p, len(items.ids))
         passage = items.passages[i]
         places = hit[each[order[a:b]]] - starts[t]
-        first = max(0, int(places.min()) - len(passage))
-        last = int(places.max()) + items.size + len(passage)
-        yield (t, i, *align(passage, codes[t][first:last]))
+        found = [align(passage, codes[t][low:high]) for low, high in stretches(places, len(passage), items.size)]
+        yield (t, i, *max(found, key=lambda f: (f[0], -max(f[1:]))))
 
 
 def is_leak(passage: int, matches: int, bottom: int, right: int) -> bool:
