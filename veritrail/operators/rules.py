@@ -6,10 +6,9 @@ projection; group rules are windows or aggregates over the group's key. Nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.idents import identifier
 from veritrail.operators.bad_rows import IMAGE_SUFFIXES, MANIFEST_COLUMNS, good_capture_time
 
 #: Columns that may be empty, the vocabularies and the identifiers of a manifest.
@@ -113,12 +112,13 @@ def leaking(rows: DataFrame, group: Column, split: Column) -> DataFrame:
 
 
 def first_occurrences(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """Rows that repeat a key, each with ``first_<order[0]>`` of its first occurrence."""
-    window = Window.partitionBy("_key").orderBy(*order)
-    rows = rows.withColumn("_key", key).where(F.col("_key").isNotNull())
-    rows = rows.withColumns({"_n": F.row_number().over(window), f"first_{order[0]}": F.first(order[0]).over(window)})
-    return rows.where("_n > 1").drop("_key", "_n")
+    """Rows that repeat a key, each with ``first_<order[0]>`` of its first occurrence.
 
+    The first of each key is an aggregate, which combines before the shuffle. ``order`` tells rows
+    of a key apart.
+    """
+    rows = rows.withColumn("_key", key).where(F.col("_key").isNotNull())
+    first = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeats = rows.join(first, "_key").where(~F.struct(*order).eqNullSafe(F.col("_first")))
+    return repeats.withColumn(f"first_{order[0]}", F.col("_first")[order[0]]).drop("_key", "_first", "_n")
 
-def sequence_key() -> Column:
-    return identifier(F.col("sequence_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.idents import identifier
+from veritrail.operators.joins import null_safe
 
 #: The faces, in order of priority, and spellings that mean the first.
 SURFACES = ("front", "left", "right", "top", "back", "bottom", "unknown")
@@ -123,22 +124,33 @@ def first_abnormal(rows: DataFrame, first_node: DataFrame, blocking: bool = Fals
     return cases.select("cid", conclusion.alias("conclusion"), level.alias("level"), at("ref_no"), at("cur_no"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], at: str, tie: str, slice_s: int = 86_400) -> DataFrame:
     """Each row of ``left`` with the row of ``right`` of the same ``key`` that is nearest in time,
     before or after; of equally near ones the smallest ``tie``. Adds near_<tie> and gap_s.
 
-    Both sides are merged in one sorted pass over each key: the last row before and the first after
-    are the only candidates, so no pairs are formed. Without a partner both columns are null.
+    Both sides are merged in sorted passes: the last row before and the first after are the only
+    candidates, so no pairs are formed. A key is cut into slices of ``slice_s`` seconds, each sorted
+    on its own; what a slice needs of others is the last row before and the first after it, which
+    are found among one row a slice. Without a partner both columns are null.
     """
-    columns = left.columns
-    l = left.select(*key, at, F.struct(*columns).alias("_row"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"))  # noqa: E741
-    r = right.where(F.col(at).isNotNull()).groupBy(*key, at).agg(F.min(tie).alias("_tie")).select(*key, at, F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), "_tie")
-    both = l.unionAll(r).withColumn("_near", F.when(F.col("_tie").isNotNull(), F.struct(F.col(at).alias("t"), F.col("_tie").alias("k"))))
-    order = Window.partitionBy(*key).orderBy(at, F.col("_tie").isNull())
-    back = F.last("_near", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.last("_near", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc(at), F.col("_tie").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = both.select(at, "_row", back.alias("_b"), ahead.alias("_a")).where(F.col("_row").isNotNull())
-    gap = lambda c: F.abs(F.unix_micros(F.col(c)["t"].cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")))
-    options = F.array_sort(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(c)["k"].alias("k"))) for c in ("_b", "_a")))))
-    best = F.when(F.col(at).isNotNull(), F.get(options, F.lit(0)))
+    columns, micros = left.columns, F.unix_micros(F.col(at).cast("timestamp"))
+    l = left.select(*key, micros.alias("_t"), F.struct(*columns).alias("_row"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"))  # noqa: E741
+    r = right.where(F.col(at).isNotNull()).groupBy(*key, micros.alias("_t")).agg(F.min(tie).alias("_tie")).select(*key, "_t", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), "_tie")
+    near = F.when(F.col("_tie").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_tie").alias("k")))
+    both = l.unionAll(r).withColumns({"_near": near, "_slice": F.floor(F.col("_t") / (slice_s * 1_000_000))})
+
+    slices = both.groupBy(*key, "_slice").agg(F.max("_near").alias("_last"), F.min("_near").alias("_first"))
+    over = Window.partitionBy(*key).orderBy("_slice")
+    back = F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    slices = slices.select(*key, F.col("_slice"), back.alias("_back"), ahead.alias("_ahead"))
+    both = null_safe(both, slices, [*key, "_slice"])
+
+    def passed(order: Column) -> Column:
+        window = Window.partitionBy(*key, "_slice").orderBy(order, F.col("_tie").isNull())
+        return F.last("_near", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    rows = both.select("_t", "_row", F.coalesce(passed(F.asc("_t")), "_back").alias("_b"), F.coalesce(passed(F.desc("_t")), "_ahead").alias("_a")).where(F.col("_row").isNotNull())
+    options = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["t"] - F.col("_t")).alias("gap"), F.col(c)["k"].alias("k"))) for c in ("_b", "_a"))))
+    best = F.when(F.col("_t").isNotNull(), F.get(F.array_sort(options), F.lit(0)))
     return rows.select(*(F.col("_row")[c].alias(c) for c in columns), best["k"].alias(f"near_{tie}"), (best["gap"] / 1e6).alias("gap_s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions.idents import digest, identifier
@@ -279,9 +279,9 @@ def gov_stratified_sample(spark: SparkSession, directory: str) -> DataFrame:
 )
 def gov_dedupe_first(spark: SparkSession, directory: str) -> DataFrame:
     """The first delivery of each record."""
-    order = Window.partitionBy("external_record_id").orderBy("retrieved_at", "source_id")
-    rows = _external(spark, directory).select("external_record_id", "source_id", "retrieved_at").distinct()
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    first = F.min(F.struct("retrieved_at", "source_id")).alias("f")
+    rows = _external(spark, directory).groupBy("external_record_id").agg(first)
+    return rows.select("external_record_id", "f.source_id", "f.retrieved_at")
 
 
 @registry.query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as geo
 from veritrail.functions.idents import identifier
-from veritrail.operators import boxes
+from veritrail.operators import boxes, quantiles
+from veritrail.operators.joins import null_safe
 from veritrail.plans.governance import _ANNOTATIONS, _annotations
 from veritrail.plans.registry import Registry
 from veritrail.plans.views import BOXES, OVERLAPS, ident
@@ -162,12 +163,15 @@ def _areas(spark: SparkSession, directory: str) -> DataFrame:
 
 def _edges(rows: DataFrame, *by: str) -> DataFrame:
     """Exact interpolated quartiles; one row for each group."""
-    return rows.groupBy(*by).agg(F.percentile("area", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    return quantiles.percentiles(rows, F.col("area"), list(by), [0.25, 0.5, 0.75]).withColumnRenamed("p", "e")
 
 
 @registry.query(sql=f"{_AREA} SELECT class_code, count(*) AS n, round(quantile_cont(area, 0.25), 4) AS q25, round(quantile_cont(area, 0.5), 4) AS q50, round(quantile_cont(area, 0.75), 4) AS q75 FROM area GROUP BY ROLLUP (class_code)")
 def stat_quartiles(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _areas(spark, directory).rollup("class_code").agg(_n().alias("n"), F.percentile("area", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    rows = _areas(spark, directory)
+    edges = _edges(rows, "class_code").unionByName(_edges(rows).withColumn("class_code", F.lit(None).cast("string")))
+    counts = rows.rollup("class_code").agg(_n().alias("n"))
+    rows = null_safe(counts, edges, ["class_code"])
     return rows.select("class_code", "n", *(F.round(F.col("e")[i], 4).alias(f"q{q}") for i, q in enumerate((25, 50, 75))))
 
 
@@ -188,7 +192,9 @@ def stat_quartile_label(spark: SparkSession, directory: str) -> DataFrame:
 
 @registry.query(sql=f"{_LABELLED} SELECT quartile, class_code, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY quartile), 6) AS share, round(median(area), 4) AS median_area FROM q GROUP BY quartile, class_code")
 def stat_quartile_summary(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _labelled(spark, directory).groupBy("quartile", "class_code").agg(_n().alias("n"), F.percentile("area", F.lit(0.5)).alias("m"))
+    rows = _labelled(spark, directory)
+    medians = quantiles.percentiles(rows, F.col("area"), ["quartile", "class_code"], [0.5])
+    rows = rows.groupBy("quartile", "class_code").agg(_n().alias("n")).join(medians, ["quartile", "class_code"]).withColumn("m", F.col("p")[0])
     share = F.col("n") / F.sum("n").over(Window.partitionBy("quartile"))
     return rows.select("quartile", "class_code", "n", F.round(share, 6).alias("share"), F.round("m", 4).alias("median_area"))
 
