@@ -87,7 +87,13 @@ def test_bloom_misses_nothing(monkeypatch):
     bloom = history.Bloom()
     assert not bloom.seen(keys).any()
     bloom.learn(keys)
-    assert bloom.seen(keys).all() and len(bloom.new) == 4
-    again = history.Bloom([f.tobytes() for f in bloom.new])
-    assert again.seen(keys).all()
+    assert bloom.seen(keys).all() and bloom.keys == [1000, 1000, 1000, 500]
+    again = history.Bloom(bloom.changed())
+    assert again.seen(keys).all() and again.changed() == []
+    more = rng.integers(-(1 << 62), 1 << 62, 700)
+    again.learn(more)
+    # the filter that was not full goes on, and its new form replaces the old one
+    assert [(n, k) for n, k, _ in again.changed()] == [(3, 1000), (4, 200)]
+    third = history.Bloom([*again.changed(), *bloom.changed()])
+    assert third.keys == [1000, 1000, 1000, 1000, 200] and third.seen(np.concatenate([keys, more])).all()
     assert again.seen(rng.integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.01

@@ -32,12 +32,25 @@ _RECORD, _DIGEST, _IMAGE = range(3)
 
 
 class Bloom:
-    """Bloom filters of a part: a new one is begun when the last is full."""
+    """Bloom filters of a part: a new one is begun when the last is full.
 
-    def __init__(self, filters: list[bytes] = ()) -> None:
-        self.old = [np.frombuffer(f, dtype=np.uint8) for f in filters]
-        self.new: list[np.ndarray] = []
-        self.room = 0
+    ``filters`` are (number, keys, bits) as ``changed`` gave them for earlier waves; of each number
+    the one with the most keys is in force.
+    """
+
+    def __init__(self, filters: list[tuple[int, int, bytes]] = ()) -> None:
+        last: dict[int, tuple[int, bytes]] = {}
+        for number, keys, bits in filters:
+            if number not in last or last[number][0] <= keys:
+                last[number] = keys, bits
+        self.bits = [np.frombuffer(last[n][1], dtype=np.uint8).copy() for n in sorted(last)]
+        self.keys = [last[n][0] for n in sorted(last)]
+        self.first = max(0, len(self.bits) - 1) if self.keys and self.keys[-1] < FILTER_KEYS else len(self.bits)
+        self.learnt = False
+
+    def changed(self) -> list[tuple[int, int, bytes]]:
+        """The filters that learnt something."""
+        return [(n, self.keys[n], self.bits[n].tobytes()) for n in range(self.first, len(self.bits))] if self.learnt else []
 
     @staticmethod
     def _places(keys: np.ndarray) -> np.ndarray:
@@ -52,20 +65,21 @@ class Bloom:
         """Whether a filter knows the keys, perhaps wrongly so; a known key is never missed."""
         places = self._places(keys)
         out = np.zeros(len(keys), dtype=bool)
-        for f in (*self.old, *self.new):
+        for f in self.bits:
             out |= ((f[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
         return out
 
     def learn(self, keys: np.ndarray) -> None:
         while len(keys):
-            if not self.room:
-                self.new.append(np.zeros(FILTER_BITS // 8, dtype=np.uint8))
-                self.room = FILTER_KEYS
-            places = self._places(keys[: self.room]).ravel()
-            np.bitwise_or.at(self.new[-1], places >> np.uint64(3), np.left_shift(1, (places & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-            taken = min(self.room, len(keys))
-            self.room -= taken
-            keys = keys[taken:]
+            self.learnt = True
+            if not self.keys or self.keys[-1] >= FILTER_KEYS:
+                self.bits.append(np.zeros(FILTER_BITS // 8, dtype=np.uint8))
+                self.keys.append(0)
+            now = keys[: FILTER_KEYS - self.keys[-1]]
+            places = self._places(now).ravel()
+            np.bitwise_or.at(self.bits[-1], places >> np.uint64(3), np.left_shift(1, (places & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            self.keys[-1] += len(now)
+            keys = keys[len(now) :]
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +88,10 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("seq", pa.int64()), ("bits", pa.binary())])
 
     def learnt(part: int, bloom: Bloom) -> pa.RecordBatch:
-        n = len(bloom.new)
-        zero = pa.array([0] * n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([-1] * n, pa.int32()), zero, zero, zero, pa.array([f.tobytes() for f in bloom.new], pa.binary())], schema=schema)
+        numbers, keys, bits = list(zip(*bloom.changed())) or [[]] * 3
+        n = len(bits)
+        columns = [pa.array([part] * n, pa.int32()), pa.array([-1] * n, pa.int32()), pa.array(numbers, pa.int64()), pa.array(keys, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(bits, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     here, bloom, filters = None, None, []
     for batch in batches:
@@ -92,7 +107,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 here, bloom, filters = int(part[low]), None, []
             kind = rows.column(1).to_numpy()
             known = int((kind < 0).sum())
-            filters += [b.as_py() for b in rows.column(5).slice(0, known)]
+            filters += list(zip(*(rows.column(c).slice(0, known).to_pylist() for c in (2, 3, 5))))
             rows = rows.slice(known)
             if not len(rows):
                 bloom = bloom or Bloom(filters)
