@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -101,10 +102,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 2, id_column: str =
     smaller id.
     """
     context = queries.sparkSession.sparkContext
-    rows = [(r[0], r[1]) for r in queries.select(id_column, vector_column).where(F.col(vector_column).isNotNull()).toLocalIterator()]
+    rows = queries.select(id_column, vector_column).where(F.col(vector_column).isNotNull()).toLocalIterator()
     out = queries.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, distance double")
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
+    while part := [(r[0], r[1]) for r in islice(rows, block)]:
         sent = context.broadcast((np.array([r[0] for r in part]), np.array([r[1] for r in part], dtype=np.float64)))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
