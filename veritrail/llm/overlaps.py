@@ -35,8 +35,9 @@ def overlaps(manifest: DataFrame) -> DataFrame:
     """Pairs of a train and a held-out record with the same digest or close hashes, each once:
     train_id, eval_id.
 
-    Missing digests and hashes meet nothing, records without a split are left out, a record
-    never meets itself, repeated rows count once and an empty table gives no pair.
+    Missing digests and hashes meet nothing, records without a split are left out and those
+    without an id too, a record never meets itself, repeated rows count once and an empty table gives
+    no pair.
     """
     records = _records(manifest)
     train, held = records.where(F.col("split") == "train"), records.where(F.col("split") != "train")
