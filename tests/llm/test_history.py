@@ -55,9 +55,11 @@ def sample(rng):
     return manifest + manifest[:10] + [(None, "Batch-1"), ("Z" * 3000, "Batch-2")], quality, batches
 
 
-@pytest.mark.parametrize("parts", [1, 16])
-def test_one_wave_against_brute_force(spark, tmp_path, parts):
-    rows = sample(random.Random(parts))
+@pytest.mark.parametrize(("parts", "hot", "block"), [(1, 1000, 20_000), (16, 1, 3), (4, 0, 20_000), (4, 2, 50)])
+def test_one_wave_against_brute_force(spark, tmp_path, monkeypatch, parts, hot, block):
+    monkeypatch.setattr(history, "HOT_ROWS", hot)
+    monkeypatch.setattr(history, "BLOCK_ROWS", block)
+    rows = sample(random.Random(parts + hot))
     found = history.repeated_records(*frames(spark, *rows), history.History(spark, str(tmp_path / "h"), parts)).collect()
     assert {tuple(r) for r in found} == brute(*rows) and len(found) == len({tuple(r) for r in found})
 
@@ -73,6 +75,21 @@ def test_waves_give_what_one_wave_gives(spark, tmp_path):
     assert store.waves == 5
 
 
+def test_a_third_are_near_copies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "HOT_ROWS", 50)
+    rng = random.Random(4)
+    batches = [(f"b{i}", DAY + timedelta(days=i)) for i in range(6)]
+    manifest, quality = [], []
+    for n in range(900):
+        image = 7 if n % 3 == 0 else rng.getrandbits(63)
+        for b in rng.sample(range(63), rng.randrange(4)):
+            image ^= 1 << b
+        manifest.append((f"R{n:03}", f"b{rng.randrange(6)}"))
+        quality.append((f"R{n:03}", None, image))
+    found = history.repeated_records(*frames(spark, manifest, quality, batches), history.History(spark, str(tmp_path / "h"), 4)).collect()
+    assert {tuple(r) for r in found} == brute(manifest, quality, batches)
+
+
 def test_edges(spark, tmp_path):
     store = history.History(spark, str(tmp_path / "h"), 2)
     assert history.repeated_records(*frames(spark, [], [], []), store).count() == 0

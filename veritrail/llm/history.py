@@ -5,7 +5,8 @@ its perceptual hash (see ``segments``). Fingerprints are spread over parts. Each
 filters of all fingerprints it ever got and a store of them with the hash they stand for and the
 batch that brought it first. A wave of batches is taken in their order: its fingerprints are held
 against the filters, which learn them in passing; only those seen before are looked up in the
-store, and a match counts if it covers enough of the hash. The store and the filters of the wave
+store, and a match counts if it covers enough of the hash. Keys that many fingerprints of a wave share
+are searched in the order of the batches until the first match. The store and the filters of the wave
 are written beside those of earlier waves, so history is never read as a whole again: parts and
 fingerprints without a positive are skipped by the join, and nothing older is rewritten.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions.idents import digest, identifier, micros
-from veritrail.llm.segments import blocked, close, segment_keys
+from veritrail.llm.segments import WITHIN, close, segment_keys
 from veritrail.session import cut
 
 #: Parts of the store; a wave of a billion fingerprints leaves some four million to each.
@@ -28,6 +29,9 @@ PARTS = 256
 #: One Bloom filter: its bits, the fingerprints it takes and the bits set for each.
 FILTER_BITS, FILTER_KEYS, FILTER_HASHES = 1 << 19, 50_000, 5
 
+#: Fingerprints of one key in a wave from which on its matches are found by first match, in blocks.
+HOT_ROWS, BLOCK_ROWS = 1_000, 20_000
+
 _RECORD, _DIGEST, _IMAGE = range(3)
 
 
@@ -127,6 +131,45 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield learnt(here, bloom)
 
 
+def _first_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hot keys sorted by key, block, role (asked before held) and batch. Gives for each value
+    asked for the earliest held value it is close to, if that is earlier.
+
+    Held values come in the order of their batches, so the first that is close settles a value, and a
+    group of near copies is settled by its first members. Only the values of one block that are not
+    settled yet are kept.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("earlier", pa.int64())])
+    here, value, seq = None, np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        place = np.stack([c.astype(np.int64) for c in columns[:4]], axis=1)
+        edges = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        for low, high in zip([0, *edges], [*edges, len(place)], strict=True):
+            if low == high:
+                continue
+            *group, role = place[low].tolist()
+            own_seq, own = columns[4][low:high], columns[5][low:high]
+            if group != here:
+                here, value, seq = group, np.empty(0, np.int64), np.empty(0, np.int64)
+            if role == 0:
+                value, seq = np.concatenate([value, own]), np.concatenate([seq, own_seq])
+                continue
+            step, at = 16, 0
+            while len(value) and at < len(own):
+                part, part_seq = own[at : at + step], own_seq[at : at + step]
+                near = value[:, None] == part[None, :] if group[0] != _IMAGE else np.bitwise_count(value[:, None] ^ part[None, :]) <= WITHIN
+                found, first = near.any(axis=1), part_seq[near.argmax(axis=1)]
+                good = found & (first < seq)
+                if good.any():
+                    n = int(good.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([group[0]] * n, pa.int32()), pa.array([group[1]] * n, pa.int64()), pa.array(value[good]), pa.array(first[good])], schema=schema)
+                # what comes later is no earlier match for a value brought by now either
+                open_ = ~found & (seq > part_seq[-1])
+                value, seq, at = value[open_], seq[open_], at + step
+                step = min(2 * step, max(16, (1 << 20) // max(1, len(value))))
+
+
 class History:
     """The fingerprint store and filters below ``folder``, a folder all executors share."""
 
@@ -161,12 +204,22 @@ class History:
 
         positive = self.spark.read.schema(f"{layout}, bits binary").parquet(f"{self.folder}/screen/wave-{now}").where(F.col("kind") >= 0)
         store = self._read("prints", layout).select("kind", "key", F.col("value").alias("old"), F.col("seq").alias("earlier"))
-        # blocks follow the wave's own counts, so history is not counted again
-        store, positive = blocked(store, positive.select("kind", "key", "value", "seq"), ["kind", "key"])
-        matches = positive.join(store, ["kind", "key", "block"]).where(F.col("earlier") < F.col("seq"))
+        keys = ["kind", "key"]
+        positive = positive.select(*keys, "value", "seq")
+        hot = positive.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+        hot = hot.select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+
+        matches = positive.join(hot, keys, "left_anti").join(store, keys).where(F.col("earlier") < F.col("seq"))
         covered = (image & close(F.col("value"), F.col("old"))) | (~image & (F.col("value") == F.col("old")))
+        matches = matches.where(covered).select(*keys, "value", "earlier")
+
+        asked = positive.join(hot, keys).select(*keys, F.pmod(F.hash("value"), "blocks").alias("block"), F.lit(0).alias("role"), "seq", "value")
+        held = store.join(hot, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("earlier").alias("seq"), F.col("old").alias("value"))
+        rows = asked.unionAll(held).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "role", "seq")
+        matches = matches.unionAll(rows.mapInArrow(_first_close, "kind int, key bigint, value bigint, earlier bigint"))
+
         name = F.when(image, F.lit(0).cast("long")).otherwise(F.col("key")).alias("name")
-        found = matches.where(covered).select("kind", name, "value", "earlier")
+        found = matches.select("kind", name, "value", "earlier")
 
         # a record repeats what an earlier batch has if its own content was first brought then,
         # or something close to it was
