@@ -207,16 +207,17 @@ class History:
         keys = ["kind", "key"]
         positive = positive.select(*keys, "value", "seq")
         hot = positive.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
-        hot = hot.select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+        hot = cut(hot.select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+        some = not hot.isEmpty()
 
-        matches = positive.join(hot, keys, "left_anti").join(store, keys).where(F.col("earlier") < F.col("seq"))
+        rest = positive.join(hot, keys, "left_anti") if some else positive
         covered = (image & close(F.col("value"), F.col("old"))) | (~image & (F.col("value") == F.col("old")))
-        matches = matches.where(covered).select(*keys, "value", "earlier")
-
-        asked = positive.join(hot, keys).select(*keys, F.pmod(F.hash("value"), "blocks").alias("block"), F.lit(0).alias("role"), "seq", "value")
-        held = store.join(hot, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("earlier").alias("seq"), F.col("old").alias("value"))
-        rows = asked.unionAll(held).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "role", "seq")
-        matches = matches.unionAll(rows.mapInArrow(_first_close, "kind int, key bigint, value bigint, earlier bigint"))
+        matches = rest.join(store, keys).where((F.col("earlier") < F.col("seq")) & covered).select(*keys, "value", "earlier")
+        if some:
+            asked = positive.join(hot, keys).select(*keys, F.pmod(F.hash("value"), "blocks").alias("block"), F.lit(0).alias("role"), "seq", "value")
+            held = store.join(hot, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("earlier").alias("seq"), F.col("old").alias("value"))
+            rows = asked.unionAll(held).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "role", "seq")
+            matches = matches.unionAll(rows.mapInArrow(_first_close, "kind int, key bigint, value bigint, earlier bigint"))
 
         name = F.when(image, F.lit(0).cast("long")).otherwise(F.col("key")).alias("name")
         found = matches.select("kind", name, "value", "earlier")
