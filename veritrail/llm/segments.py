@@ -18,6 +18,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.session import cut
+
 #: Length of a perceptual hash, and in how many bits two close ones may differ.
 BITS, WITHIN = 63, 6
 #: Rows of one key that are joined in one block.
@@ -52,11 +54,14 @@ def close(left: Column, right: Column, within: int = WITHIN) -> Column:
     return F.bit_count(left.bitwiseXOR(right)) <= within
 
 
-def blocked(left: DataFrame, right: DataFrame, key: list[str], rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def blocked(left: DataFrame, right: DataFrame, key: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column ``block``: a key of more than ``rows`` rows on the right is cut
     into blocks, each of which meets every left row of the key, so no task gets a whole hot key."""
+    rows = BLOCK_ROWS if rows is None else rows
     hot = right.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    hot = hot.select(*key, F.ceil(F.col("_n") / rows).cast("int").alias("_blocks"))
+    hot = cut(hot.select(*key, F.ceil(F.col("_n") / rows).cast("int").alias("_blocks")))
+    if hot.isEmpty():
+        return left.withColumn("block", F.lit(0)), right.withColumn("block", F.lit(0))
     blocks = F.coalesce("_blocks", F.lit(1))
     names = right.columns
     right = right.join(hot, key, "left").withColumn("block", F.pmod(F.hash(*names), blocks)).drop("_blocks")
@@ -69,7 +74,6 @@ def close_pairs(left: DataFrame, right: DataFrame, bits: int = BITS, within: int
 
     Both sides are made distinct first, so copies meet once; nulls meet nothing.
     """
-    left = left.select("a").where(F.col("a").isNotNull()).distinct().select("a", F.explode(segment_keys(F.col("a"), bits, within)).alias("key"))
-    right = right.select("b").where(F.col("b").isNotNull()).distinct().select("b", F.explode(segment_keys(F.col("b"), bits, within)).alias("key"))
-    left, right = blocked(left, right, ["key"])
+    keyed = lambda df, c: cut(df.select(c).where(F.col(c).isNotNull()).distinct()).select(c, F.explode(segment_keys(F.col(c), bits, within)).alias("key"))
+    left, right = blocked(keyed(left, "a"), keyed(right, "b"), ["key"])
     return left.join(right, ["key", "block"]).where(close(F.col("a"), F.col("b"), within)).select("a", "b").distinct()
