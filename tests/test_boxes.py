@@ -90,3 +90,24 @@ def test_unreadable_detections_are_left_out(spark):
     texts = ["[1, 2, 3, 4]", "[1, 2, 3", None, "", "{}", "[[1, 2, 3, 4]]", "n/a"]
     df = spark.createDataFrame([(i, " C1", "N1", "front", "D01", 0.5, t) for i, t in enumerate(texts)], "id long, case_id string, node_id string, surface string, class_code string, confidence double, bbox_json string")
     assert [r.id for r in boxes.detection_boxes(df.unionAll(df)).collect()] == [0]
+
+
+def test_every_readable_form_of_a_box_is_read(spark):
+    texts = [
+        '{"x1": 1, "y1": 2, "x2": 3, "y2": 4}',
+        '{"bbox_xyxy": [1, 2, 3, 4], "unit": "px"}',
+        '["1", "2", "3", "4"]',
+        '"[1, 2, 3, 4]"',
+        '[[1, 2, 3, 4], null, {"x": 1, "y": 2, "w": 2, "h": 2}, {"left": 1, "top": 2, "right": 3, "bottom": 4}]',
+        "[1, 2, 3, 1e999]",
+    ]
+    df = spark.createDataFrame([(i, " C1", "N1", "front", "D01", 0.5, t) for i, t in enumerate(texts)], "id long, case_id string, node_id string, surface string, class_code string, confidence double, bbox_json string")
+    found = boxes.detection_boxes(df.unionAll(df)).select("id", "no", "b.*").collect()
+    assert sorted(tuple(r) for r in found) == [(i, n, 1.0, 2.0, 3.0, 4.0) for i, n in [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 2), (4, 3)]]
+
+
+def test_boxes_of_one_detection_are_matched_apart(spark):
+    rows = [(1, "c", "n", "f", 0.0, 0.0, 10.0, 10.0), (1, "c", "n", "f", 50.0, 50.0, 60.0, 60.0)]
+    df = frame(spark, rows).withColumn("no", F.when(F.col("b.x1") > 0, 1).otherwise(0))
+    found = boxes.greedy_match(df, df.withColumn("id", F.lit(2).cast("long")), IMAGE).collect()
+    assert [(r.truth_id, r.prediction_id, r.iou) for r in found] == [(1, 2, 1.0)] * 2

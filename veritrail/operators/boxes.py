@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.geometry import box, iou
 from veritrail.functions.idents import identifier
+from veritrail.operators.nested import boxes_within
 
 #: Edge of the cells that boxes of an image are joined by, in pixels.
 CELL = 128.0
 
 
+_FOUND = "array<struct<no: int, x1: double, y1: double, x2: double, y2: double>>"
+
+
 def detection_boxes(detections: DataFrame) -> DataFrame:
-    """Detections whose bbox_json is one list of four numbers, with cid, nid and ``b``; each row once."""
-    four = r"^\s*\[\s*-?[0-9.]+(\s*,\s*-?[0-9.]+){3}\s*\]\s*$"
-    parts = F.from_json("bbox_json", "array<double>")
-    rows = detections.where(F.col("bbox_json").rlike(four)).select(
-        "id", identifier(F.col("case_id")).alias("cid"), identifier(F.col("node_id")).alias("nid"), "surface", "class_code", "confidence", parts.alias("p")
+    """Every readable box of the detections, with cid, nid, its position ``no`` in bbox_json and ``b``; each once.
+
+    Boxes are read as ``nested`` reads them: listed or named, lone or in lists, wrapped or not.
+    """
+    found = F.explode(F.udf(lambda text: boxes_within(text), _FOUND)("bbox_json"))
+    rows = detections.where(F.col("bbox_json").isNotNull()).select(
+        "id", identifier(F.col("case_id")).alias("cid"), identifier(F.col("node_id")).alias("nid"), "surface", "class_code", "confidence", found.alias("p")
     )
-    return rows.select("id", "cid", "nid", "surface", "class_code", "confidence", box(*(F.col("p")[i] for i in range(4))).alias("b")).distinct()
+    corners = (F.col("p")[c] for c in ("x1", "y1", "x2", "y2"))
+    return rows.select("id", F.col("p")["no"].alias("no"), "cid", "nid", "surface", "class_code", "confidence", box(*corners).alias("b")).distinct()
 
 
 def _cells(b: Column, cell: float) -> Column:
@@ -46,43 +53,44 @@ def overlapping(left: DataFrame, right: DataFrame, image: list[str], cell: float
     return pairs.where(~apart).drop("_cell")
 
 
-def best_overlap(left: DataFrame, right: DataFrame, image: list[str], key: str) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, image: list[str], key: str | list[str]) -> DataFrame:
     """Each row of ``left`` (``key``, ``a``) with the largest IoU it has with a box of ``right``; 0 without one."""
     best = overlapping(left, right, image).groupBy(key).agg(F.max(iou(F.col("a"), F.col("b"))).alias("best"))
     return left.join(best, key, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
 def greedy_match(truth: DataFrame, predictions: DataFrame, image: list[str], match: float = 0.5, low: float = 0.1) -> DataFrame:
-    """One-to-one matching in the order of the truth's ids: each takes the free prediction of the
+    """One-to-one matching in the order of the truth's ids (and ``no`` of boxes that have one): each takes the free prediction of the
     largest IoU, the smallest id on ties. (truth_id, prediction_id, iou, outcome): matched from
     ``match`` on, low_iou from ``low`` on, else missed without a prediction.
 
     The choice depends on earlier ones of the image, so pairs that overlap are grouped by image;
     pairs below ``low`` are dropped before. Only ids and overlaps reach the group.
     """
-    t = truth.select(*image, F.col("id").alias("truth_id"), F.col("b").alias("a"))
-    p = predictions.select(*image, F.col("id").alias("prediction_id"), "b")
-    pairs = overlapping(t, p, image).select(*image, "truth_id", "prediction_id", iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= low)
+    own = lambda rows: F.col("no") if "no" in rows.columns else F.lit(0)
+    t = truth.select(*image, F.col("id").alias("truth_id"), own(truth).alias("truth_no"), F.col("b").alias("a"))
+    p = predictions.select(*image, F.col("id").alias("prediction_id"), own(predictions).alias("prediction_no"), "b")
+    pairs = overlapping(t, p, image).select(*image, "truth_id", "truth_no", "prediction_id", "prediction_no", iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= low)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["truth_id", "iou", "prediction_id"], ascending=[True, False, True])
+        rows = rows.sort_values(["truth_id", "truth_no", "iou", "prediction_id", "prediction_no"], ascending=[True, True, False, True, True])
         taken, done, out = set(), set(), []
-        for truth_id, prediction_id, value in zip(rows["truth_id"], rows["prediction_id"], rows["iou"], strict=True):
-            if truth_id not in done and prediction_id not in taken:
-                done.add(truth_id)
-                taken.add(prediction_id)
-                out.append((truth_id, prediction_id, value))
-        return pd.DataFrame(out, columns=["truth_id", "prediction_id", "iou"])
-
-    chosen = pairs.groupBy(*image).applyInPandas(choose, "truth_id bigint, prediction_id bigint, iou double")
+        for *t, p, p_no, value in zip(*(rows[c] for c in ("truth_id", "truth_no", "prediction_id", "prediction_no", "iou")), strict=True):
+            if tuple(t) not in done and (p, p_no) not in taken:
+                done.add(tuple(t))
+                taken.add((p, p_no))
+                out.append((*t, p, value))
+        return pd.DataFrame(out, columns=["truth_id", "truth_no", "prediction_id", "iou"])
+
+    chosen = pairs.groupBy(*image).applyInPandas(choose, "truth_id bigint, truth_no int, prediction_id bigint, iou double")
     outcome = F.when(F.col("iou") >= match, "matched").when(F.col("iou") >= low, "low_iou").otherwise("missed")
-    return t.select("truth_id").join(chosen, "truth_id", "left").withColumn("outcome", outcome)
+    return t.select("truth_id", "truth_no").join(chosen, ["truth_id", "truth_no"], "left").drop("truth_no").withColumn("outcome", outcome)
 
 
-def diverse_top(rows: DataFrame, group: list[str], size: Column, x: Column, y: Column, key: str, apart: float, most: Column) -> DataFrame:
+def diverse_top(rows: DataFrame, group: list[str], size: Column, x: Column, y: Column, key: str | list[str], apart: float, most: Column) -> DataFrame:
     """Up to ``most`` (one or two) rows of each group: the smallest, then the next smallest that lies
     ``apart`` from it, or else simply the next."""
-    order = Window.partitionBy(*group).orderBy("_size", key)
+    order = Window.partitionBy(*group).orderBy("_size", *([key] if isinstance(key, str) else key))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"_size": size, "_x": x, "_y": y, "_most": most})
     rows = rows.withColumn("_rank", F.row_number().over(order)).withColumns({"_fx": F.first("_x").over(whole), "_fy": F.first("_y").over(whole)})

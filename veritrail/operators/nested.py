@@ -10,6 +10,7 @@ task that read the document. Nothing is shuffled for it.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -78,6 +79,29 @@ def is_box(value: object) -> bool:
     return isinstance(value, dict) and any(all(_number(value.get(n)) for n in names) for names in BOX_NAMES)
 
 
+def corners(value: object) -> tuple[float, float, float, float] | None:
+    """The corners x1, y1, x2, y2 of a box; None if a coordinate is not finite. A list holds corners."""
+    if isinstance(value, list):
+        names, given = BOX_NAMES[0], value
+    else:
+        names = next(names for names in BOX_NAMES if all(_number(value.get(n)) for n in names))
+        given = [value[n] for n in names]
+    try:
+        a, b, c, d = map(float, given)
+    except OverflowError:
+        return None
+    c, d = (a + c, b + d) if names[:2] == ("x", "y") else (c, d)
+    return (a, b, c, d) if all(map(math.isfinite, (a, b, c, d))) else None
+
+
+def boxes_within(text: str | None) -> list[tuple[int, float, float, float, float]]:
+    """Position and corners of every box of a document; a lone box is a list of one."""
+    value = document(text, Shape(boxes="bbox")) if text else None
+    members = value if isinstance(value, list) and not is_box(value) else [value]
+    found = ((position, corners(member)) for position, member in enumerate(members) if is_box(member))
+    return [(position, *c) for position, c in found if c is not None]
+
+
 class Labeller:
     """Numbers the nodes of documents and collects those of the wanted types."""
 

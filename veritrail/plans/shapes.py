@@ -120,10 +120,10 @@ LEFT JOIN over o ON o.a_id = id AND o.shared / greatest(o.a_area, 1.0) >= 0.15 W
 def geo_change_label(spark: SparkSession, directory: str) -> DataFrame:
     """The label of a region: that of the first other box that covers enough of it, or unknown."""
     rows = _boxes(spark, directory)
-    regions = rows.where("class_code = 'D02'").select(*_IMAGE, F.col("id").alias("region_id"), F.col("b").alias("a"))
+    regions = rows.where("class_code = 'D02'").select(*_IMAGE, F.col("id").alias("region_id"), F.col("no").alias("region_no"), F.col("b").alias("a"))
     found = boxes.overlapping(regions, rows.select(*_IMAGE, "id", "class_code", "b"), _IMAGE).where("region_id <> id").where(geo.cover(F.col("a"), F.col("b")) >= 0.15)
-    found = found.groupBy("region_id").agg(F.min_by("class_code", "id").alias("label"), _n().alias("matches"))
-    return regions.join(found, "region_id", "left").select(F.col("region_id").alias("id"), F.coalesce("label", F.lit("UNKNOWN_VISUAL_CHANGE")).alias("label"), F.coalesce("matches", F.lit(0)).alias("matches"))
+    found = found.groupBy("region_id", "region_no").agg(F.min_by("class_code", "id").alias("label"), _n().alias("matches"))
+    return regions.join(found, ["region_id", "region_no"], "left").select(F.col("region_id").alias("id"), F.coalesce("label", F.lit("UNKNOWN_VISUAL_CHANGE")).alias("label"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 @registry.query(
@@ -133,9 +133,9 @@ SELECT id, round(coalesce(best, 0.0), 6) AS best FROM boxes LEFT JOIN best ON a_
 def geo_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
     """Boxes of one class that overlap none of another class by half."""
     rows = _boxes(spark, directory)
-    left = rows.where("class_code = 'D03'").select(*_IMAGE, "id", F.col("b").alias("a"))
+    left = rows.where("class_code = 'D03'").select(*_IMAGE, "id", "no", F.col("b").alias("a"))
     right = rows.where("class_code <> 'D03'").select(*_IMAGE, "b")
-    return boxes.best_overlap(left, right, _IMAGE, "id").where("best < 0.5").select("id", F.round("best", 6).alias("best"))
+    return boxes.best_overlap(left, right, _IMAGE, ["id", "no"]).where("best < 0.5").select("id", F.round("best", 6).alias("best"))
 
 
 @registry.query(
@@ -265,7 +265,7 @@ SELECT id, CASE WHEN rk = 1 THEN 1 ELSE 2 END AS pick FROM s WHERE rk = 1 OR rk
 )
 def topk_diverse(spark: SparkSession, directory: str) -> DataFrame:
     """The smallest box of each image and the next that lies apart from it."""
-    return boxes.diverse_top(_areas(spark, directory), _IMAGE, F.col("area"), F.col("b.x1"), F.col("b.y1"), "id", 150.0, F.lit(2)).select("id", "pick")
+    return boxes.diverse_top(_areas(spark, directory), _IMAGE, F.col("area"), F.col("b.x1"), F.col("b.y1"), ["id", "no"], 150.0, F.lit(2)).select("id", "pick")
 
 
 @registry.query(
