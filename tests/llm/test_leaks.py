@@ -113,3 +113,22 @@ def test_alignment_is_that_of_the_plain_recurrence():
         # the path found has the best score: its matches less its other steps
         assert h.max() <= matches and matches <= min(bottom, right) or h.max() == 0
         assert h.max() == matches - (max(bottom, right) - matches) or h.max() <= matches
+
+
+def test_a_gap_does_not_spoil_the_parts_it_parts(spark, items):
+    rng = random.Random(7)
+    documents, size = [], len(passage(items, 8).split())
+    for share in (0.27, 0.3, 0.4, 0.49):
+        words = passage(items, 8).split()
+        documents.append(" ".join([*words[: size // 2], *(f"x{rng.randrange(999)}" for _ in range(int(share * size))), *words[size // 2 :]]))
+    assert found(spark, documents, items) == {(n, 8) for n in range(len(documents))}
+
+
+def test_a_purer_path_is_found_beside_a_better_one():
+    passage = np.arange(1, 101)
+    half = passage[:50]
+    mixed = np.concatenate([np.append(passage[i : i + 3], 0) if i % 2 else passage[i : i + 3] for i in range(0, 99, 3)])
+    mixed[np.arange(0, len(mixed), 6)] = 0
+    text = np.concatenate([half, np.zeros(130, dtype=np.int64), mixed])
+    assert not leaks.is_leak(100, *leaks.align(passage, text))
+    assert leaks.best_stretch(passage, text, [(0, len(text))]) == (50, 50, 50)

@@ -2,7 +2,7 @@
 
 Rare n-grams of the items are seeds: a document that holds enough seeds of an item is aligned with
 the item's passage by the Smith-Waterman recurrence, which tolerates changed, missing and added
-words, and is reported if one stretch of it carries enough of the passage.
+words, and is reported if any stretch of it carries enough of the passage.
 
 The items are a small fixed set against which all documents are held. They are sent to the tasks
 in blocks of bounded size, so a document is read once for each block and nothing is shuffled.
@@ -11,6 +11,7 @@ in blocks of bounded size, so a document is read once for each block and nothing
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -33,6 +34,8 @@ LEAD_ITEMS = 3
 SEED_SHARE, LEAST_SEEDS = 0.1, 2
 #: The share of the passage that must be found unaltered, and of the stretch that must be passage.
 PASSAGE_SHARE, STRETCH_SHARE = 0.45, 0.8
+#: Costs of a gap or mismatch under which a text is aligned again if its best paths are no leak.
+COSTS = (1, 2, 4)
 #: A text is Chinese if this share of its letters and digits is; a document with this many such
 #: characters is held against Chinese items, whatever else it has.
 CHINESE_SHARE, CHINESE_CHARACTERS = 0.3, 20
@@ -134,34 +137,81 @@ def prepare(items: list[tuple[int, str]]) -> list[Items]:
     return list(kinds.values())
 
 
-def align(passage: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment (match 1, mismatch and gap -1): matches, and the length of the stretch in
-    the passage and in the text."""
+def path(passage: np.ndarray, text: np.ndarray, cost: int = 1) -> tuple[np.ndarray, int]:
+    """Best local alignment (match 1, mismatch and gap -``cost``): the places of its matches in the passage
+    and in the text, and its score."""
     n, m = len(passage), len(text)
     scores = np.zeros((n + 1, m + 1), dtype=np.int32)
-    slope = np.arange(m + 1, dtype=np.int32)
+    slope = np.arange(m + 1, dtype=np.int32) * cost
     for i in range(1, n + 1):
         above = scores[i - 1]
         row = scores[i]
-        same = np.where(text == passage[i - 1], 1, -1)
-        row[1:] = np.maximum(above[:-1] + same, above[1:] - 1)
+        same = np.where(text == passage[i - 1], 1, -cost)
+        row[1:] = np.maximum(above[:-1] + same, above[1:] - cost)
         np.maximum(row, 0, out=row)
         # gaps along the row: the best earlier score less its distance
         np.maximum(row, np.maximum.accumulate(row + slope) - slope, out=row)
     at = int(np.argmax(scores))
     i, j = divmod(at, m + 1)
-    bottom, right, matches = i, j, 0
+    best, matches = int(scores[i, j]), []
     while i and j and scores[i, j]:
         score = scores[i, j]
         if passage[i - 1] == text[j - 1] and score == scores[i - 1, j - 1] + 1:
-            matches, i, j = matches + 1, i - 1, j - 1
-        elif score == scores[i - 1, j - 1] - 1:
             i, j = i - 1, j - 1
-        elif score == scores[i - 1, j] - 1:
+            matches.append((i, j))
+        elif score == scores[i - 1, j - 1] - cost:
+            i, j = i - 1, j - 1
+        elif score == scores[i - 1, j] - cost:
             i -= 1
         else:
             j -= 1
-    return matches, bottom - i, right - j
+    return np.array(matches[::-1], dtype=np.int64).reshape(-1, 2), best
+
+
+def measure(matches: np.ndarray) -> tuple[int, int, int]:
+    """Matches of a path, and the length of its stretch in the passage and in the text."""
+    return (len(matches), *(matches[-1] - matches[0] + 1).tolist()) if len(matches) else (0, 0, 0)
+
+
+def align(passage: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment (match 1, mismatch and gap -1): matches, and the length of the stretch in
+    the passage and in the text."""
+    return measure(path(passage, text)[0])
+
+
+def leaking_part(size: int, matches: np.ndarray) -> tuple[int, int, int] | None:
+    """The part of a path with the most matches among those that are a leak of a passage of ``size``."""
+    least = max(1, math.ceil(PASSAGE_SHARE * size))
+    for count in range(len(matches), least - 1, -1):
+        spans = (matches[count - 1 :] - matches[: len(matches) - count + 1] + 1).max(axis=1)
+        at = int(spans.argmin())
+        if is_leak(size, count, 0, int(spans[at])):
+            return measure(matches[at : at + count])
+    return None
+
+
+def best_stretch(passage: np.ndarray, text: np.ndarray, windows: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+    """The leaking stretch of the passage with the most matches in the windows of a text, or None.
+
+    The best path of a window may bridge good parts over a gap that is too long, so its parts are
+    judged too. It may also hide a shorter, purer path. Where the window's score leaves room for one,
+    it is sought by higher costs in windows of two and a half passages, half of which overlap: a
+    leaking stretch, which is at most one and a quarter passages long, lies whole in one of them.
+    """
+    size = len(passage)
+    paths = [path(passage, text[low:high]) for low, high in windows]
+    found = [part for part in (leaking_part(size, matches) for matches, _ in paths) if part]
+    if not found:
+        reach = math.ceil(size / STRETCH_SHARE)
+        # of M matches in a leaking stretch at most M / STRETCH_SHARE - M steps are lost on either side
+        least = PASSAGE_SHARE * size * (3 - 2 / STRETCH_SHARE)
+        for (low, high), (_, score) in zip(windows, paths, strict=True):
+            if score < least:
+                continue
+            for start in range(low, max(low + 1, high - reach), reach):
+                part = text[start : min(high, start + 2 * reach)]
+                found += [p for p in (leaking_part(size, path(passage, part, cost)[0]) for cost in COSTS) if p]
+    return max(found, key=lambda f: (f[0], -max(f[1:])), default=None)
 
 
 def stretches(places: np.ndarray, size: int, seed: int) -> list[tuple[int, int]]:
@@ -183,7 +233,7 @@ def stretches(places: np.ndarray, size: int, seed: int) -> list[tuple[int, int]]
 
 def search(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, matches, stretch of the passage, stretch of the text) of every pair with enough
-    seeds. All plain texts are looked up at once."""
+    seeds and a leaking stretch. All plain texts are looked up at once."""
     codes = [items.numbers(t) for t in texts]
     starts = np.cumsum([0, *(len(c) + 1 for c in codes)])
     joined = np.zeros(starts[-1], dtype=np.int64)
@@ -211,8 +261,9 @@ def search(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int,
         t, i = divmod(p, len(items.ids))
         passage = items.passages[i]
         places = hit[each[order[a:b]]] - starts[t]
-        found = [align(passage, codes[t][low:high]) for low, high in stretches(places, len(passage), items.size)]
-        yield (t, i, *max(found, key=lambda f: (f[0], -max(f[1:]))))
+        found = best_stretch(passage, codes[t], stretches(places, len(passage), items.size))
+        if found:
+            yield (t, i, *found)
 
 
 def is_leak(passage: int, matches: int, bottom: int, right: int) -> bool:
@@ -244,9 +295,8 @@ def leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
                     by_character = own.split is characters
                     rows = [n for n, c in enumerate(chinese) if c or not by_character]
                     ids = batch.column(0).take(pa.array(rows, pa.int64())).to_pylist()
-                    for t, i, matches, bottom, right in search([texts[n] for n in rows], own):
-                        if is_leak(len(own.passages[i]), matches, bottom, right):
-                            found.append((ids[t], own.ids[i], matches, len(own.passages[i])))
+                    for t, i, matches, _, _ in search([texts[n] for n in rows], own):
+                        found.append((ids[t], own.ids[i], matches, len(own.passages[i])))
                 columns = list(zip(*found)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "matches", "passage"])
 
