@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritrail.llm import history
@@ -114,3 +115,38 @@ def test_bloom_misses_nothing(monkeypatch):
     third = history.Bloom([*again.changed(), *bloom.changed()])
     assert third.keys == [1000, 1000, 1000, 1000, 200] and third.seen(np.concatenate([keys, more])).all()
     assert again.seen(rng.integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.01
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 1000])
+def test_filters_cut_by_arrow_batches_are_all_read(monkeypatch, cut):
+    monkeypatch.setattr(history, "FILTER_KEYS", 100)
+    rng = np.random.default_rng(1)
+    old, new = (rng.integers(-(1 << 62), 1 << 62, n) for n in (450, 40))
+    bloom = history.Bloom()
+    bloom.learn(old)
+    rows = [(part, -1, number, keys, 0, bits) for part in (3, 4, 5) for number, keys, bits in bloom.changed()]
+    rows += [(part, 2, key, 1, 7, None) for part in (3, 5) for key in [*old.tolist(), *new.tolist()]]
+    rows.sort(key=lambda r: (r[0], r[1] >= 0))
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("seq", pa.int64()), ("bits", pa.binary())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + cut]), schema)], schema=schema) for at in range(0, len(rows), cut)]
+    out = [r for batch in history._screen(iter(batches)) for r in batch.to_pylist()]
+    for part in (3, 5):
+        assert set(old.tolist()) <= {r["key"] for r in out if r["part"] == part and r["kind"] >= 0}
+        # those of the wave go on where the last one stands
+        assert [(r["key"], r["value"]) for r in out if r["part"] == part and r["kind"] < 0][0][0] == 4
+    assert not [r for r in out if r["part"] == 4]
+
+
+def test_many_waves_in_tiny_arrow_batches(spark, tmp_path):
+    manifest, quality, batches = sample(random.Random(11))
+    store = history.History(spark, str(tmp_path / "h"), 2)
+    found = set()
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        for batch in sorted(batches, key=lambda b: b[1]):
+            own = [r for r in manifest if r[1] and r[1].strip().lower() == batch[0].lower()]
+            found |= {tuple(r) for r in history.repeated_records(*frames(spark, own, quality, [batch]), store).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert found == brute(manifest, quality, batches)

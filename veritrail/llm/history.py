@@ -87,8 +87,8 @@ class Bloom:
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part and batch, the part's filters first. Gives the fingerprints seen before
-    and at the end of each part the filters of the wave."""
+    """Rows sorted by part and batch, the part's filters first; these may span Arrow batches. Gives the
+    fingerprints seen before and at the end of each part the filters of the wave."""
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("seq", pa.int64()), ("bits", pa.binary())])
 
     def learnt(part: int, bloom: Bloom) -> pa.RecordBatch:
@@ -114,8 +114,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters += list(zip(*(rows.column(c).slice(0, known).to_pylist() for c in (2, 3, 5))))
             rows = rows.slice(known)
             if not len(rows):
-                bloom = bloom or Bloom(filters)
                 continue
+            # now all filters of the part are read; a part without rows learns nothing
             if bloom is None:
                 bloom = Bloom(filters)
             keys = rows.column(2).to_numpy()
