@@ -64,3 +64,17 @@ def test_containment_in_a_crowded_batch():
     outer, inner = rows[rows[:, 1] == 0], rows[rows[:, 1] == 2]
     for i, o in zip(inner, outer[nested.containing(outer, inner)], strict=True):
         assert o[0] == i[0] and o[2] < i[2] and o[3] > i[3]
+
+
+def test_wrapped_numbers_are_read(spark, tmp_path):
+    from veritrail.plans import audits, evidence
+
+    inner = {"registration": {"match_count": 40, "good_match_count": "30", "inlier_ratio": 0.3}}
+    wrap = lambda d: [json.dumps(d), json.dumps(json.dumps(d)), json.dumps({"result_version": 2, "payload": d}), json.dumps({"payload": {"result": json.dumps(d)}})]
+    texts = [*wrap(inner), '{"regions": []}', "n/a", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, result_json string").write.parquet(f"{tmp_path}/pair_changes.parquet")
+    found = {r.id: r.status for r in audits.aud_registration_ladder(spark, str(tmp_path)).collect()}
+    assert found == {i: "LOW_CONFIDENCE" if i < 4 else "NOT_RUN" for i in range(8)}
+    texts = [*wrap({"inference_ms": 10, "data": {"inference_ms": 99}}), *wrap({"inference_ms": "20", "detections": []}), *wrap({"inference_ms": None}), '{"inference_ms": NaN}', "{", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, result_json string").write.parquet(f"{tmp_path}/surface_analysis.parquet")
+    assert [tuple(r) for r in evidence.agg_json_avg(spark, str(tmp_path)).collect()] == [(8, 15.0)]

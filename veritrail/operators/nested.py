@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +63,18 @@ def document(text: str | None, shape: Shape) -> object:
     return None
 
 
+def unwrapped(text: Column, members: tuple[str, ...]) -> Column:
+    """JSON texts without the strings and envelopes around the document, which is what has any of
+    ``members`` or no envelope; null if unreadable."""
+    shape = Shape(dict.fromkeys(members, ()))
+
+    def inner(texts: pd.Series) -> pd.Series:
+        found = (document(text, shape) if text else None for text in texts)
+        return pd.Series([None if value is None else json.dumps(value) for value in found], dtype=object)
+
+    return F.pandas_udf(inner, "string")(text)
+
+
 def _number(value: object) -> bool:
     if isinstance(value, str):
         try:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as geo
 from veritrail.functions.idents import identifier
-from veritrail.operators import boxes, rules
+from veritrail.operators import boxes, nested, rules
 from veritrail.operators.bad_rows import good_capture_time
 from veritrail.operators.sequence import node_number
 from veritrail.plans.registry import Registry
@@ -55,9 +55,10 @@ SELECT id, CASE WHEN found IS NULL THEN 'NOT_RUN' WHEN found < 4 OR good < 10 OR
 )
 def aud_registration_ladder(spark: SparkSession, directory: str) -> DataFrame:
     """The status that the measurements within the JSON of a comparison stand for."""
-    valid = F.try_parse_json("result_json").isNotNull()
-    value = lambda name: F.when(valid, F.get_json_object("result_json", f"$.registration.{name}").try_cast("double"))
-    rows = table(spark, directory, "pair_changes").select("id", value("match_count").alias("found"), value("good_match_count").alias("good"), value("inlier_ratio").alias("inliers")).distinct()
+    valid = F.try_parse_json("doc").isNotNull()
+    value = lambda name: F.when(valid, F.get_json_object("doc", f"$.registration.{name}").try_cast("double"))
+    doc = nested.unwrapped(F.col("result_json"), ("registration", "regions", "warnings")).alias("doc")
+    rows = table(spark, directory, "pair_changes").select("id", doc).select("id", value("match_count").alias("found"), value("good_match_count").alias("good"), value("inlier_ratio").alias("inliers")).distinct()
     failed = (F.col("found") < 4) | (F.col("good") < 10) | (F.col("inliers") < 0.2)
     status = F.when(F.col("found").isNull(), "NOT_RUN").when(failed, "FAILED").when(F.col("inliers") < 0.45, "LOW_CONFIDENCE").otherwise("SUCCESS")
     return rows.select("id", status.alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.idents import identifier
-from veritrail.operators import sequence
+from veritrail.operators import nested, sequence
 from veritrail.plans import views
 from veritrail.plans.registry import Registry
 from veritrail.plans.views import ident
@@ -108,9 +108,10 @@ TRY_CAST(json_extract_string(result_json, '$.inference_ms') AS DOUBLE) END AS ms
 )
 def agg_json_avg(spark: SparkSession, directory: str) -> DataFrame:
     """Mean of a number within JSON texts; unreadable texts and values are skipped."""
-    valid = F.try_parse_json("result_json").isNotNull()
-    ms = F.when(valid, F.get_json_object("result_json", "$.inference_ms").try_cast("double")).alias("ms")
-    return table(spark, directory, "surface_analysis").select(ms).agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"))
+    valid = F.try_parse_json("doc").isNotNull()
+    ms = F.when(valid, F.get_json_object("doc", "$.inference_ms").try_cast("double")).alias("ms")
+    doc = nested.unwrapped(F.col("result_json"), ("inference_ms", "detections", "warnings")).alias("doc")
+    return table(spark, directory, "surface_analysis").select(doc).select(ms).agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"))
 
 
 _TRENDS = ("cases", "detections", "pair_changes", "surface_analysis")
