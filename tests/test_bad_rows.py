@@ -1,5 +1,6 @@
 import csv
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -116,3 +117,15 @@ def test_edits_are_named():
     assert br.error_parse(br.structure('a,"b'), 2)[2] in ("2:delete quote", "4:insert quote")
     assert br.error_parse(br.structure("a,b,c"), 2)[2].endswith("delete delimiter")
     assert br.error_parse(br.structure("a"), 3)[2].count("insert delimiter") == 2
+
+
+def test_edits_of_long_records_are_traced(monkeypatch):
+    # cheapest is to quote what is too much as one field
+    cost, sound, edits = br.error_parse("x," * 3000 + "x", 21)
+    assert (cost, sound) == (2, True) and [e.split(":")[1] for e in edits.split("; ")] == ["insert quote"] * 2
+    rng = random.Random(8)
+    records = ["".join(rng.choice('x",') for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    want = [br._parse(r, 4) for r in records]
+    for block in (1, 3, 8):
+        monkeypatch.setattr(br, "BLOCK_MARKS", block)
+        assert [br._parse(r, 4) for r in records] == want

@@ -29,8 +29,8 @@ MANIFEST_COLUMNS = (
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 
 QUOTING, COLUMN_COUNT = "QUOTING", "COLUMN_COUNT"
-#: Records of more structural marks than this get their cost but no list of edits.
-TRACED_MARKS = 4096
+#: Structural marks after which a layer is kept; those between are computed again to trace the edits.
+BLOCK_MARKS = 4096
 
 _FAR = np.int64(1) << 60
 _START, _PLAIN, _QUOTED, _CLOSED = range(4)
@@ -94,7 +94,37 @@ def _consume(cost: np.ndarray, mark: str) -> np.ndarray:
     return out
 
 
-def _edits(layers: list[tuple[np.ndarray, np.ndarray]], marks: str, state: int, k: int) -> str:
+class _Layers:
+    """The costs before each mark, on arrival and after insertions. One layer in BLOCK_MARKS is kept,
+    and the block asked for last, so memory is bounded by a block whatever the length of the record."""
+
+    def __init__(self, marks: str, columns: int) -> None:
+        self.marks, self.kept = marks, []
+        cost = np.full((4, columns), _FAR)
+        cost[_START, 0] = 0
+        for number in range(len(marks) // BLOCK_MARKS + 1):
+            self.kept.append(cost)
+            cost = self._run(number)
+
+    def _run(self, number: int) -> np.ndarray:
+        """Computes a block; gives the costs on arrival at the next."""
+        cost, first, self.number, self.block = self.kept[number], number * BLOCK_MARKS, number, []
+        for position in range(first, min(first + BLOCK_MARKS, len(self.marks) + 1)):
+            arrived, cost = cost, cost.copy()
+            _insertions(cost)
+            self.block.append((arrived, cost))
+            if position < len(self.marks):
+                cost = _consume(cost, self.marks[position])
+        return cost
+
+    def __getitem__(self, position: int) -> tuple[np.ndarray, np.ndarray]:
+        number, place = divmod(position, BLOCK_MARKS)
+        if number != self.number:
+            self._run(number)
+        return self.block[place]
+
+
+def _edits(layers: _Layers, marks: str, state: int, k: int) -> str:
     """A cheapest list of edits, found backwards: ``position of the mark`` with what is done there."""
     found: list[str] = []
     position = len(marks)
@@ -123,27 +153,23 @@ def _edits(layers: list[tuple[np.ndarray, np.ndarray]], marks: str, state: int,
         state, k = source, k - back
 
 
-@lru_cache(maxsize=1 << 16)
 def error_parse(marks: str, columns: int) -> tuple[int, bool, str]:
     """The fewest edits to read ``marks`` as ``columns`` fields, whether the quoting is sound as it
-    is, and the edits."""
+    is, and the edits. Readings of short records are kept."""
+    return _kept_parse(marks, columns) if len(marks) < BLOCK_MARKS else _parse(marks, columns)
+
+
+def _parse(marks: str, columns: int) -> tuple[int, bool, str]:
     sound = _sound_fields(marks)
     if sound == columns:
         return 0, True, ""
-    traced = len(marks) <= TRACED_MARKS
-    cost = np.full((4, columns), _FAR)
-    cost[_START, 0] = 0
-    layers: list[tuple[np.ndarray, np.ndarray]] = []
-    for position in range(len(marks) + 1):
-        arrived = cost.copy() if traced else cost
-        _insertions(cost)
-        if traced:
-            layers.append((arrived, cost))
-        if position < len(marks):
-            cost = _consume(cost, marks[position])
+    layers = _Layers(marks, columns)
+    cost = layers[len(marks)][1]
     state = min((_START, _PLAIN, _CLOSED), key=lambda s: cost[s, columns - 1])
-    least = int(cost[state, columns - 1])
-    return least, sound > 0, _edits(layers, marks, state, columns - 1) if traced else "more marks than are traced"
+    return int(cost[state, columns - 1]), sound > 0, _edits(layers, marks, state, columns - 1)
+
+
+_kept_parse = lru_cache(maxsize=1 << 16)(_parse)
 
 
 def _split_sound(line: str) -> list[str]:
