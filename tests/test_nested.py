@@ -78,3 +78,10 @@ def test_wrapped_numbers_are_read(spark, tmp_path):
     texts = [*wrap({"inference_ms": 10, "data": {"inference_ms": 99}}), *wrap({"inference_ms": "20", "detections": []}), *wrap({"inference_ms": None}), '{"inference_ms": NaN}', "{", None]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, result_json string").write.parquet(f"{tmp_path}/surface_analysis.parquet")
     assert [tuple(r) for r in evidence.agg_json_avg(spark, str(tmp_path)).collect()] == [(8, 15.0)]
+
+
+def test_documents_in_many_wrappings_are_read():
+    value = {"warnings": ["a"]}
+    for _ in range(40):
+        value = {"payload": value}
+    assert nested.document(json.dumps(json.dumps(value)), SHAPE) == {"warnings": ["a"]}

@@ -27,9 +27,6 @@ ENVELOPES = ("payload", "result", "data", "document", "body", "content")
 BOX_MEMBERS = ("bbox_xyxy", "bbox", "box", "boxes", "bboxes")
 BOX_NAMES = (("x1", "y1", "x2", "y2"), ("x", "y", "w", "h"), ("x", "y", "width", "height"), ("left", "top", "right", "bottom"))
 
-#: How often a document may be wrapped in strings and envelopes.
-WRAPPINGS = 16
-
 
 @dataclass(frozen=True)
 class Shape:
@@ -45,9 +42,10 @@ class Shape:
 
 
 def document(text: str | None, shape: Shape) -> object:
-    """The document in ``text`` without the strings and envelopes around it; None if unreadable."""
+    """The document in ``text`` without the strings and envelopes around it, however many; None if unreadable."""
     value: object = text
-    for _ in range(WRAPPINGS):
+    # each step leaves a shorter or shallower value
+    while True:
         if isinstance(value, str):
             try:
                 value = json.loads(value)
@@ -60,7 +58,6 @@ def document(text: str | None, shape: Shape) -> object:
             value = value[inside[0]]
         else:
             return value
-    return None
 
 
 def unwrapped(text: Column, members: tuple[str, ...]) -> Column:
