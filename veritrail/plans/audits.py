@@ -12,7 +12,7 @@ from veritrail.operators.bad_rows import good_capture_time
 from veritrail.operators.sequence import node_number
 from veritrail.plans.registry import Registry
 from veritrail.plans.shapes import _IMAGE, _LABELLED, _boxes, _labelled
-from veritrail.plans.views import BOXES, ident, number
+from veritrail.plans.views import BOXES, documents, ident, number
 from veritrail.session import table
 
 registry = Registry()
@@ -46,11 +46,11 @@ def geo_crop_labels(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.select("crop_id", "id", *((k[c] - a[f"{c[0]}1"]).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-_REG = "CASE WHEN json_valid(result_json) THEN TRY_CAST(json_extract_string(result_json, '$.registration.{0}') AS DOUBLE) END"
+_REG = "TRY_CAST(json_extract_string(doc, '$.registration.{0}') AS DOUBLE)"
 
 
 @registry.query(
-    sql=f"""WITH r AS (SELECT DISTINCT id, {_REG.format("match_count")} AS found, {_REG.format("good_match_count")} AS good, {_REG.format("inlier_ratio")} AS inliers FROM pair_changes)
+    sql=f"""WITH r AS (SELECT DISTINCT id, {_REG.format("match_count")} AS found, {_REG.format("good_match_count")} AS good, {_REG.format("inlier_ratio")} AS inliers FROM ({documents("pair_changes", "result_json", unreadable=True)}))
 SELECT id, CASE WHEN found IS NULL THEN 'NOT_RUN' WHEN found < 4 OR good < 10 OR inliers < 0.2 THEN 'FAILED' WHEN inliers < 0.45 THEN 'LOW_CONFIDENCE' ELSE 'SUCCESS' END AS status FROM r"""
 )
 def aud_registration_ladder(spark: SparkSession, directory: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import bad_rows, nested, orphans
 from veritrail.plans.registry import Registry
+from veritrail.plans.views import BOX, BOX_MEMBERS, documents, listed
 from veritrail.session import table
 
 registry = Registry()
@@ -59,42 +60,17 @@ _REJECTED = f"""WITH {_RAW} SELECT raw_id, 'QUOTING' AS reason FROM counted WHER
 UNION ALL SELECT raw_id, reason FROM bad"""
 _LOADED = f"WITH {_RAW} SELECT raw_id, {', '.join(f'{_field(i)} AS {c}' for i, c in enumerate(bad_rows.MANIFEST_COLUMNS))} FROM good WHERE raw_id NOT IN (SELECT raw_id FROM bad)"
 
-# A document without its wrappings: one more string or envelope is taken off in each step.
-_UNWRAP = """CASE WHEN NOT json_valid(doc) THEN NULL WHEN json_type(doc) = 'VARCHAR' THEN json_extract_string(doc, '$')
-WHEN json_type(doc) = 'OBJECT' AND json_exists(doc, '$.payload') THEN CAST(json_extract(doc, '$.payload') AS VARCHAR)
-WHEN json_type(doc) = 'OBJECT' AND json_exists(doc, '$.result') THEN CAST(json_extract(doc, '$.result') AS VARCHAR)
-WHEN json_type(doc) = 'OBJECT' AND json_exists(doc, '$.bbox_xyxy') THEN CAST(json_extract(doc, '$.bbox_xyxy') AS VARCHAR) ELSE doc END"""
-
-
-def _documents(name: str, column: str) -> str:
-    steps = f"SELECT DISTINCT id, {column} AS doc FROM {name}"
-    for _ in range(6):
-        steps = f"SELECT id, {_UNWRAP} AS doc FROM ({steps})"
-    return f"SELECT id, CAST(doc AS JSON) AS doc FROM ({steps}) WHERE json_valid(doc)"
-
-
-def _listed(source: str, inside: str, keep: str) -> str:
-    """Members of a JSON list with their place; a lone value is a list of one, null is none."""
-    whole = f"CASE json_type({inside}) WHEN 'ARRAY' THEN CAST({inside} AS JSON[]) WHEN 'NULL' THEN [] ELSE [{inside}] END"
-    return f"""SELECT {keep}, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS no FROM (SELECT {keep}, {whole} AS l FROM ({source}) WHERE {inside} IS NOT NULL)"""
-
-
 def _members(name: str, path: str) -> str:
-    listed = _listed(_documents(name, "result_json"), f"json_extract(doc, '$.{path}')", "id")
-    return f"SELECT '{name}' AS parent_table, id AS parent_id, '{path}' AS item_path, no AS item_no, -1 AS sub_no FROM ({listed}) WHERE json_type(m) <> 'NULL'"
+    rows = listed(documents(name, "result_json"), f"json_extract(doc, '$.{path}')", "id")
+    return f"SELECT '{name}' AS parent_table, id AS parent_id, '{path}' AS item_path, no AS item_no, -1 AS sub_no FROM ({rows}) WHERE json_type(m) <> 'NULL'"
 
 
-_NUMBER = "coalesce({0} NOT IN ('BOOLEAN', 'NULL') AND TRY_CAST({1} AS DOUBLE) IS NOT NULL, false)"
-_NAMED = " AND ".join(_NUMBER.format(f"json_type(m, '$.{c}')", f"json_extract_string(m, '$.{c}')") for c in ("x1", "y1", "x2", "y2"))
-_BOX = f"""CASE json_type(m) WHEN 'ARRAY' THEN json_array_length(m) = 4 AND list_bool_and(list_transform(CAST(m AS JSON[]), lambda x: {_NUMBER.format("json_type(x)", "json_extract_string(x, '$')")}))
-WHEN 'OBJECT' THEN {_NAMED} ELSE false END"""
-_BOXES = f"SELECT id, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS no FROM (SELECT id, CASE WHEN json_type(m) = 'ARRAY' AND NOT ({_BOX}) THEN CAST(m AS JSON[]) ELSE [m] END AS l FROM (SELECT id, doc AS m FROM ({_documents('detections', 'bbox_json')})))"
-_INNER = _listed(_listed(_documents("pair_changes", "result_json"), "json_extract(doc, '$.regions')", "id"), "json_extract(m, '$.overlapping_known_damage')", "id, no").replace(
+_INNER = listed(listed(documents("pair_changes", "result_json"), "json_extract(doc, '$.regions')", "id"), "json_extract(m, '$.overlapping_known_damage')", "id, no").replace(
     "unnest(l) AS m, generate_subscripts(l, 1) - 1 AS no FROM (SELECT id, no", "unnest(l) AS m, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT id, no"
 )
 _ITEMS = f"""{_members("pair_changes", "regions")} UNION ALL {_members("pair_changes", "warnings")} UNION ALL {_members("surface_analysis", "detections")} UNION ALL {_members("surface_analysis", "warnings")}
 UNION ALL SELECT 'pair_changes', id, 'regions.overlapping_known_damage', no, sub FROM ({_INNER}) WHERE json_type(m) <> 'NULL'
-UNION ALL SELECT 'detections', id, 'bbox', no, -1 FROM ({_BOXES}) WHERE {_BOX}"""
+UNION ALL SELECT 'detections', id, 'bbox', no, -1 FROM ({BOX_MEMBERS}) WHERE {BOX}"""
 _FOUND = f"SELECT DISTINCT parent_table, parent_id, item_path, CAST(item_no AS INTEGER) AS item_no, CAST(sub_no AS INTEGER) AS sub_no FROM ({_ITEMS})"
 
 

@@ -103,8 +103,8 @@ def agg_level_distribution(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @registry.query(
-    sql="""SELECT count(ms) AS n, round(avg(ms), 3) AS mean_ms FROM (SELECT CASE WHEN json_valid(result_json) THEN
-TRY_CAST(json_extract_string(result_json, '$.inference_ms') AS DOUBLE) END AS ms FROM surface_analysis)"""
+    sql=f"""SELECT count(ms) AS n, round(avg(ms), 3) AS mean_ms FROM (SELECT TRY_CAST(json_extract_string(doc, '$.inference_ms') AS DOUBLE) AS ms
+FROM ({views.documents("surface_analysis", "result_json", "row_number() OVER () AS r")}))"""
 )
 def agg_json_avg(spark: SparkSession, directory: str) -> DataFrame:
     """Mean of a number within JSON texts; unreadable texts and values are skipped."""

@@ -115,7 +115,7 @@ def geo_cover(spark: SparkSession, directory: str) -> DataFrame:
 
 @registry.query(
     sql=f"""WITH {BOXES}, {OVERLAPS} SELECT id, coalesce(arg_min(o.b_class, o.b_id), 'UNKNOWN_VISUAL_CHANGE') AS label, count(o.b_id) AS matches FROM boxes
-LEFT JOIN over o ON o.a_id = id AND o.shared / greatest(o.a_area, 1.0) >= 0.15 WHERE class_code = 'D02' GROUP BY id"""
+LEFT JOIN over o ON o.a_id = id AND o.a_no = no AND o.shared / greatest(o.a_area, 1.0) >= 0.15 WHERE class_code = 'D02' GROUP BY id, no"""
 )
 def geo_change_label(spark: SparkSession, directory: str) -> DataFrame:
     """The label of a region: that of the first other box that covers enough of it, or unknown."""
@@ -127,8 +127,8 @@ def geo_change_label(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @registry.query(
-    sql=f"""WITH {BOXES}, {OVERLAPS}, best AS (SELECT a_id, max(shared / (a_area + b_area - shared)) AS best FROM over WHERE a_class = 'D03' AND b_class <> 'D03' AND a_area + b_area - shared > 0 GROUP BY 1)
-SELECT id, round(coalesce(best, 0.0), 6) AS best FROM boxes LEFT JOIN best ON a_id = id WHERE class_code = 'D03' AND coalesce(best, 0.0) < 0.5"""
+    sql=f"""WITH {BOXES}, {OVERLAPS}, best AS (SELECT a_id, a_no, max(shared / (a_area + b_area - shared)) AS best FROM over WHERE a_class = 'D03' AND b_class <> 'D03' AND a_area + b_area - shared > 0 GROUP BY 1, 2)
+SELECT id, round(coalesce(best, 0.0), 6) AS best FROM boxes LEFT JOIN best ON a_id = id AND a_no = no WHERE class_code = 'D03' AND coalesce(best, 0.0) < 0.5"""
 )
 def geo_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
     """Boxes of one class that overlap none of another class by half."""
@@ -259,7 +259,7 @@ def taxonomy_case(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @registry.query(
-    sql=f"""{_AREA}, r AS (SELECT *, row_number() OVER w AS rk, first_value(x1) OVER w AS fx, first_value(y1) OVER w AS fy FROM area WINDOW w AS (PARTITION BY cid, nid, surface ORDER BY area, id)),
+    sql=f"""{_AREA}, r AS (SELECT *, row_number() OVER w AS rk, first_value(x1) OVER w AS fx, first_value(y1) OVER w AS fy FROM area WINDOW w AS (PARTITION BY cid, nid, surface ORDER BY area, id, no)),
 s AS (SELECT *, coalesce(min(CASE WHEN rk > 1 AND sqrt((x1 - fx) * (x1 - fx) + (y1 - fy) * (y1 - fy)) >= 150 THEN rk END) OVER (PARTITION BY cid, nid, surface), 2) AS second FROM r)
 SELECT id, CASE WHEN rk = 1 THEN 1 ELSE 2 END AS pick FROM s WHERE rk = 1 OR rk = second"""
 )

@@ -1,5 +1,7 @@
 """SQL of the normalised views that several queries share."""
 
+from __future__ import annotations
+
 ID = "nullif(lower(trim({0}, ' ' || chr(9))), '')"
 NO = "CASE WHEN regexp_full_match({0}, 'n[1-9][0-9]{{0,8}}') THEN CAST(substr({0}, 2) AS INTEGER) END"
 FACE = """CASE WHEN lower(trim(coalesce({0}, ''))) IN ('', 'package_exterior', 'package-exterior') THEN 'front'
@@ -51,11 +53,41 @@ WHEN bool_or(state = 'UNKNOWN_CHANGE') THEN 'E3' ELSE 'E0' END AS level FROM sta
 
 CHAIN = ", ".join([CAPTURES, KNOWN, PAIRS, NEXT, STATES, INTERVALS])
 
-BOXES = f"""boxes AS (SELECT DISTINCT id, {ident("case_id")} AS cid, {ident("node_id")} AS nid, surface, class_code, confidence,
-l[1] AS x1, l[2] AS y1, l[3] AS x2, l[4] AS y2 FROM (SELECT *, CAST(bbox_json AS DOUBLE[]) AS l FROM detections
-WHERE regexp_full_match(bbox_json, '\\s*\\[\\s*-?[0-9.]+(\\s*,\\s*-?[0-9.]+){{3}}\\s*\\]\\s*')))"""
-
-OVERLAPS = """over AS (SELECT a.id AS a_id, b.id AS b_id, a.class_code AS a_class, b.class_code AS b_class,
+# A document without its wrappings: one more string or envelope is taken off in each step.
+UNWRAP = """CASE WHEN NOT json_valid(doc) THEN NULL WHEN json_type(doc) = 'VARCHAR' THEN json_extract_string(doc, '$')
+WHEN json_type(doc) = 'OBJECT' AND json_exists(doc, '$.payload') THEN CAST(json_extract(doc, '$.payload') AS VARCHAR)
+WHEN json_type(doc) = 'OBJECT' AND json_exists(doc, '$.result') THEN CAST(json_extract(doc, '$.result') AS VARCHAR)
+WHEN json_type(doc) = 'OBJECT' AND json_exists(doc, '$.bbox_xyxy') THEN CAST(json_extract(doc, '$.bbox_xyxy') AS VARCHAR) ELSE doc END"""
+
+
+def documents(name: str, column: str, keep: str = "id", unreadable: bool = False) -> str:
+    """Documents of a table without their wrappings, each row once; those that are unreadable are null, if wanted at all."""
+    steps = f"SELECT DISTINCT {keep}, {column} AS doc FROM {name}"
+    for _ in range(6):
+        steps = f"SELECT * REPLACE ({UNWRAP} AS doc) FROM ({steps})"
+    if unreadable:
+        return f"SELECT * REPLACE (CASE WHEN json_valid(doc) THEN CAST(doc AS JSON) END AS doc) FROM ({steps})"
+    return f"SELECT * REPLACE (CAST(doc AS JSON) AS doc) FROM ({steps}) WHERE json_valid(doc)"
+
+
+def listed(source: str, inside: str, keep: str) -> str:
+    """Members of a JSON list with their place; a lone value is a list of one, null is none."""
+    whole = f"CASE json_type({inside}) WHEN 'ARRAY' THEN CAST({inside} AS JSON[]) WHEN 'NULL' THEN [] ELSE [{inside}] END"
+    return f"""SELECT {keep}, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS no FROM (SELECT {keep}, {whole} AS l FROM ({source}) WHERE {inside} IS NOT NULL)"""
+
+
+_NUMBER = "coalesce({0} NOT IN ('BOOLEAN', 'NULL') AND TRY_CAST({1} AS DOUBLE) IS NOT NULL, false)"
+_NAMED = " AND ".join(_NUMBER.format(f"json_type(m, '$.{c}')", f"json_extract_string(m, '$.{c}')") for c in ("x1", "y1", "x2", "y2"))
+BOX = f"""CASE json_type(m) WHEN 'ARRAY' THEN json_array_length(m) = 4 AND list_bool_and(list_transform(CAST(m AS JSON[]), lambda x: {_NUMBER.format("json_type(x)", "json_extract_string(x, '$')")}))
+WHEN 'OBJECT' THEN {_NAMED} ELSE false END"""
+_MEMBER = f"SELECT *, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS no FROM (SELECT * EXCLUDE (m), CASE WHEN json_type(m) = 'ARRAY' AND NOT ({BOX}) THEN CAST(m AS JSON[]) ELSE [m] END AS l FROM (SELECT * EXCLUDE (doc), doc AS m FROM ({{0}})))"
+BOX_MEMBERS = _MEMBER.format(documents("detections", "bbox_json"))
+_CORNERS = ", ".join(f"CAST(json_extract_string(m, CASE json_type(m) WHEN 'ARRAY' THEN '$[{i}]' ELSE '$.{c}' END) AS DOUBLE) AS {c}" for i, c in enumerate(("x1", "y1", "x2", "y2")))
+_KEPT = "id, case_id, node_id, surface, class_code, confidence"
+BOXES = f"""boxes AS (SELECT DISTINCT id, no, {ident("case_id")} AS cid, {ident("node_id")} AS nid, surface, class_code, confidence, {_CORNERS}
+FROM ({_MEMBER.format(documents("detections", "bbox_json", _KEPT))}) WHERE {BOX})"""
+
+OVERLAPS = """over AS (SELECT a.id AS a_id, a.no AS a_no, b.id AS b_id, a.class_code AS a_class, b.class_code AS b_class,
 (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS shared,
 (a.x2 - a.x1) * (a.y2 - a.y1) AS a_area, (b.x2 - b.x1) * (b.y2 - b.y1) AS b_area
 FROM boxes a JOIN boxes b ON a.cid = b.cid AND a.nid = b.nid AND a.surface = b.surface AND a.id <> b.id
