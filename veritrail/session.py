@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -57,14 +58,18 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, is a folder of this machine used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs in one
+    process, as in tests, is a folder of this machine used; a cluster without one is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
-    if not folder:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="veritrail-")
+    if not folder and current.isDefined():
+        folder = current.get()
+    elif not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("a cluster needs a folder that all executors share: set spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="veritrail-")
     if not current.isDefined():
         context.setCheckpointDir(folder)
     return folder
