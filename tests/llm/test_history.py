@@ -107,7 +107,7 @@ def test_bloom_misses_nothing(monkeypatch):
     bloom.learn(keys)
     assert bloom.seen(keys).all() and bloom.keys == [1000, 1000, 1000, 500]
     again = history.Bloom(bloom.changed())
-    assert again.seen(keys).all() and again.changed() == []
+    assert again.seen(keys).all() and [(n, k) for n, k, _ in again.changed()] == [(3, 500)]
     more = rng.integers(-(1 << 62), 1 << 62, 700)
     again.learn(more)
     # the filter that was not full goes on, and its new form replaces the old one
@@ -124,17 +124,64 @@ def test_filters_cut_by_arrow_batches_are_all_read(monkeypatch, cut):
     old, new = (rng.integers(-(1 << 62), 1 << 62, n) for n in (450, 40))
     bloom = history.Bloom()
     bloom.learn(old)
-    rows = [(part, -1, number, keys, 0, bits) for part in (3, 4, 5) for number, keys, bits in bloom.changed()]
-    rows += [(part, 2, key, 1, 7, None) for part in (3, 5) for key in [*old.tolist(), *new.tolist()]]
+    rows = [(part, -1, 0, number, keys, 0, False, bits) for part in (3, 4, 5) for number, keys, bits in bloom.changed()]
+    rows += [(part, 2, 0, key, 1, 7, False, None) for part in (3, 5) for key in [*old.tolist(), *new.tolist()]]
     rows.sort(key=lambda r: (r[0], r[1] >= 0))
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("seq", pa.int64()), ("bits", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("g", pa.int32()), *((n, pa.int64()) for n in ("key", "value", "seq")), ("old", pa.bool_()), ("bits", pa.binary())])
     batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + cut]), schema)], schema=schema) for at in range(0, len(rows), cut)]
     out = [r for batch in history._screen(iter(batches)) for r in batch.to_pylist()]
     for part in (3, 5):
-        assert set(old.tolist()) <= {r["key"] for r in out if r["part"] == part and r["kind"] >= 0}
-        # those of the wave go on where the last one stands
-        assert [(r["key"], r["value"]) for r in out if r["part"] == part and r["kind"] < 0][0][0] == 4
-    assert not [r for r in out if r["part"] == 4]
+        own = [r for r in out if r["part"] == part]
+        assert set(old.tolist()) <= {r["key"] for r in own if r["seen"]} and len([r for r in own if r["what"] == "prints"]) == 490
+        # those of the wave go on where the last one stands: one open filter is current
+        assert [(r["key"], r["value"], r["what"]) for r in own if r["kind"] < 0] == [(4, 90, "open")]
+    # a part without rows keeps its open filter
+    assert [(r["key"], r["value"], r["what"]) for r in out if r["part"] == 4] == [(4, 50, "open")]
+
+
+@pytest.mark.parametrize(("most", "parts"), [(256, 3), (2, 8)])
+def test_reopened_between_waves(spark, tmp_path, monkeypatch, most, parts):
+    """A store opened anew for each wave, which also outgrows its keys or its waves, finds what one wave finds."""
+    monkeypatch.setattr(history, "MOST_WAVES", most)
+    monkeypatch.setattr(history, "segments_for", lambda n, _: 7 if n < 30 else 9 if n < 70 else 11)
+    manifest, quality, batches = sample(random.Random(21))
+    found, names = set(), []
+    for n, batch in enumerate(sorted(batches, key=lambda b: b[1])):
+        store = history.History(spark, str(tmp_path / "h"), parts if n == 0 else 99)
+        assert store.waves == n and store.parts == parts
+        own = [r for r in manifest if r[1] and r[1].strip().lower() == batch[0].lower()]
+        found |= {tuple(r) for r in history.repeated_records(*frames(spark, own, quality, [batch]), store).collect()}
+        assert [c["name"] for c in store.commits][:n] == names
+        names = [c["name"] for c in store.commits]
+    assert found == brute(manifest, quality, batches)
+    assert sum(c["base"] for c in history.History(spark, str(tmp_path / "h")).commits) >= 3
+
+
+def test_a_lost_wave_leaves_nothing(spark, tmp_path, monkeypatch):
+    manifest, quality, batches = sample(random.Random(22))
+    first, second = sorted(batches, key=lambda b: b[1])[:2]
+    own = lambda b: frames(spark, [r for r in manifest if r[1] and r[1].strip().lower() == b[0].lower()], quality, [b])
+    history.repeated_records(*own(first), history.History(spark, str(tmp_path / "h"), 4)).collect()
+    lost, other = history.History(spark, str(tmp_path / "h")), history.History(spark, str(tmp_path / "h"))
+    with monkeypatch.context() as m:
+        m.setattr(lost.log, "add", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            history.repeated_records(*own(second), lost)
+    want = brute([r for r in manifest if r[1] and r[1].strip().lower() in (first[0].lower(), second[0].lower())], quality, [first, second])
+    assert {tuple(r) for r in history.repeated_records(*own(second), history.History(spark, str(tmp_path / "h"))).collect()} == want
+    with pytest.raises(FileExistsError):
+        history.repeated_records(*own(second), other)
+
+
+def test_only_parts_with_positives_are_read(spark, tmp_path):
+    store = history.History(spark, str(tmp_path / "h"), 32)
+    rows = frames(spark, [(f"r{i}", "b0") for i in range(200)], [(f"r{i}", f"d{i}", None) for i in range(200)], [("b0", DAY)])
+    history.repeated_records(*rows, store).collect()
+    found = history.repeated_records(*frames(spark, [("new", "b1")], [("new", "d7", None)], [("b1", DAY + timedelta(days=1))]), store)
+    plan = found._jdf.queryExecution().toString()
+    read = [p for p in plan.split("PartitionFilters: [")[1:] if "part#" in p.split("]")[0]]
+    assert read and all("IN (" not in p.split("]")[0] for p in read), "one part is looked up"
+    assert {tuple(r) for r in found.collect()} == {("b1", "new")}
 
 
 def test_many_waves_in_tiny_arrow_batches(spark, tmp_path):

@@ -30,14 +30,33 @@ def run(spark, rows):
     return {tuple(r) for r in overlaps.overlap_pairs(df).collect()}
 
 
-def test_pigeonhole():
-    pairs = segments.segment_pairs()
-    assert len(pairs) == 16
+@pytest.mark.parametrize("count", [7, 8, 9, 11, 15, 23])
+def test_pigeonhole(count):
+    keys = segments.masks(count)
+    assert len(set(keys)) == len(keys) and all(0 < m < 1 << 63 for m in keys)
     rng = random.Random(1)
-    for _ in range(2000):
-        wrong = set(rng.sample(range(63), 6))
-        whole = [pair for pair in pairs if not any(low <= w < low + size for low, size in pair for w in wrong)]
-        assert whole
+    for _ in range(1000):
+        wrong = flip(0, rng.sample(range(63), 6))
+        assert any(not m & wrong for m in keys)
+
+
+def test_keys_widen_with_the_data():
+    sizes = [segments.segments_for(n, n) for n in (10, 10_000, 1_000_000, 100_000_000, 10_000_000_000)]
+    assert sizes == sorted(sizes) and sizes[0] == 7 and sizes[-1] > 20
+    per_row = [n * sum(2.0 ** -m.bit_count() for m in segments.masks(c)) for n, c in zip((1_000_000, 100_000_000), sizes[2:4])]
+    # 100 times the rows, far from 100 times the candidates each
+    assert per_row[1] < 25 * per_row[0]
+
+
+@pytest.mark.parametrize("count", [7, 11, 15])
+def test_every_number_of_segments_finds_every_pair_once(spark, monkeypatch, count):
+    monkeypatch.setattr(segments, "segments_for", lambda *_: count)
+    rng = random.Random(count)
+    left = [rng.getrandbits(63) for _ in range(40)]
+    right = [flip(v, rng.sample(range(63), rng.randrange(9))) for v in left for _ in range(3)] + left[:5]
+    found = segments.close_pairs(*(spark.createDataFrame([(v,) for v in [*side, None]], f"{c} bigint") for side, c in ((left, "a"), (right, "b")))).collect()
+    want = {(a, b) for a in left for b in right if (a ^ b).bit_count() <= 6}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
 @pytest.mark.parametrize("rows_per_block", [2, 20_000])

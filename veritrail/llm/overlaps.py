@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.idents import digest, trimmed
-from veritrail.llm.segments import close_pairs
+from veritrail.llm.segments import close_pairs, joined
+from veritrail.session import cut
 
 #: Spellings of the splits, in lower case. Any other value is no split.
 SPLITS = {
@@ -31,28 +32,38 @@ def _records(manifest: DataFrame) -> DataFrame:
     ).where(F.col("id").isNotNull() & F.col("split").isNotNull())
 
 
+def _overlaps(manifest: DataFrame) -> DataFrame:
+    """``overlaps`` of which a pair may come out more than once."""
+    records = _records(manifest)
+    train, held = records.where(F.col("split") == "train"), records.where(F.col("split") != "train")
+    side = lambda df, name, content: df.select(F.col("id").alias(f"{name}_id"), F.col(content).alias(name)).where(F.col(name).isNotNull()).distinct()
+    same = joined(*(side(df, name, "digest").withColumnRenamed(name, "digest") for df, name in ((held, "a"), (train, "b"))), ["digest"]).drop("digest")
+    held, train = side(held, "a", "phash"), side(train, "b", "phash")
+    near = joined(joined(cut(close_pairs(held, train)), held, ["a"]), train, ["b"])
+    found = [df.select(F.col("b_id").alias("train_id"), F.col("a_id").alias("eval_id")) for df in (same, near)]
+    return found[0].unionAll(found[1]).where(F.col("train_id") != F.col("eval_id"))
+
+
 def overlaps(manifest: DataFrame) -> DataFrame:
     """Pairs of a train and a held-out record with the same digest or close hashes, each once:
     train_id, eval_id.
 
     Missing digests and hashes meet nothing, records without a split are left out and those
     without an id too, a record never meets itself, repeated rows count once and an empty table gives
-    no pair.
+    no pair. A digest or hash that many records share is joined in blocks.
     """
-    records = _records(manifest)
-    train, held = records.where(F.col("split") == "train"), records.where(F.col("split") != "train")
-    t = train.select(F.col("id").alias("train_id"), "digest", F.col("phash").alias("b"))
-    e = held.select(F.col("id").alias("eval_id"), "digest", F.col("phash").alias("a"))
-    side = lambda df, *c: df.select(*c).where(F.col(c[-1]).isNotNull()).distinct()
-    same = side(e, "eval_id", "digest").join(side(t, "train_id", "digest"), "digest").select("train_id", "eval_id")
-    near = close_pairs(e.select("a"), t.select("b")).join(side(e, "eval_id", "a"), "a").join(side(t, "train_id", "b"), "b").select("train_id", "eval_id")
-    return same.unionAll(near).where(F.col("train_id") != F.col("eval_id")).distinct()
+    return _overlaps(manifest).distinct()
 
 
 def overlap_pairs(manifest: DataFrame) -> DataFrame:
     """``overlaps`` as record_a, record_b, the smaller id first."""
-    pairs = overlaps(manifest)
-    return pairs.select(F.least("train_id", "eval_id").alias("record_a"), F.greatest("train_id", "eval_id").alias("record_b")).distinct()
+    return _overlaps(manifest).select(F.least("train_id", "eval_id").alias("record_a"), F.greatest("train_id", "eval_id").alias("record_b")).distinct()
+
+
+def train_without_overlaps(manifest: DataFrame) -> DataFrame:
+    """The ids of train records that no held-out record overlaps with, each once."""
+    train = _records(manifest).where(F.col("split") == "train").select(F.col("id").alias("train_id")).distinct()
+    return train.join(_overlaps(manifest).select("train_id").distinct(), "train_id", "left_anti").select(F.col("train_id").alias("external_record_id"))
 
 
 def overlaps_by_split(manifest: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def p1_by_split(spark: SparkSession, directory: str) -> DataFrame:
     return overlaps.overlaps_by_split(table(spark, directory, "external_manifest"))
 
 
+@registry.query(sql=sql.P1_TRAIN_KEPT)
+def p1_train_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """Train records that overlap with no held-out record, the train split as it should be."""
+    return overlaps.train_without_overlaps(table(spark, directory, "external_manifest"))
+
+
 @registry.query(sql=sql.P5_FOUND)
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return splits.torn_groups(table(spark, directory, "manifest"), splits.ComponentTable(spark, _folder(spark, "components")))

@@ -1,10 +1,12 @@
 """Segment join of bit strings that differ in few places.
 
-A string with at most ``k`` errors, cut into ``k + 3`` segments, keeps three of them. Segments
-are put into two halves, so two of any three lie in the same half: of all pairs of segments only
-those within a half need be looked up. This refines the join on ``k + 1`` single segments, of
-which one is kept: a pair of 7-bit segments meets by chance in one of 16,384 cases, one of seven
-9-bit segments in one of 512, which leaves about fifteen times the candidates.
+A string with at most ``k`` errors, cut into ``m > k`` segments, keeps ``m - k`` of them whole. The
+segments are put into two halves, so half of those that stay whole lie in one of them: it is enough to
+look strings up by the ``r = ceil((m - k) / 2)`` segments of every choice within a half. More segments
+give more keys, each of more bits: 7 give 7 keys of 9 bits, 9 give 16 of 14, 15 give 77 of 21, 23 give
+275 of 25. How many there are is chosen by the sizes of both sides, so that rows and candidates
+together cost least: keys grow longer as the data grow, and candidates do not grow with their square.
+Every choice finds every pair.
 
 Strings of equal length that differ by substitution only have their matches at the segment's own
 place, and the band of the verifying dynamic programme is its diagonal: the sum of the unequal
@@ -13,6 +15,7 @@ bits, which is what ``bit_count`` of the exclusive or gives.
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -22,31 +25,36 @@ from veritrail.session import cut
 
 #: Length of a perceptual hash, and in how many bits two close ones may differ.
 BITS, WITHIN = 63, 6
-#: Rows of one key that are joined in one block.
+#: Rows of one key on one side that are joined in one block.
 BLOCK_ROWS = 20_000
+#: What verifying a candidate costs, in rows looked up by one key, and the most segments.
+CANDIDATE_COST, MOST_SEGMENTS = 1 / 16, 31
 
 
-def segment_pairs(bits: int = BITS, within: int = WITHIN) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Pairs of segments (first bit, length), one of which any two close strings share."""
-    count = within + 3
-    edges = [bits * i // count for i in range(count + 1)]
-    segments = [(low, high - low) for low, high in zip(edges, edges[1:])]
-    half = (count + 1) // 2
-    return [*combinations(segments[:half], 2), *combinations(segments[half:], 2)]
+@cache
+def masks(segments: int, bits: int = BITS, within: int = WITHIN) -> tuple[int, ...]:
+    """The bits of each key: any two strings that are close agree in all bits of at least one."""
+    edges = [bits * i // segments for i in range(segments + 1)]
+    parts = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+    half, together = (segments + 1) // 2, (segments - within + 1) // 2
+    return tuple(sum(chosen) for side in (parts[:half], parts[half:]) for chosen in combinations(side, together))
 
 
-def segment_keys(value: Column, bits: int = BITS, within: int = WITHIN) -> Column:
-    """Array of the keys under which ``value`` is looked up: number of the pair and its bits."""
+def segments_for(left: int, right: int, bits: int = BITS, within: int = WITHIN) -> int:
+    """The number of segments for which looking up ``left`` strings among ``right`` costs least."""
 
-    def cut(segment: tuple[int, int]) -> Column:
-        low, size = segment
-        return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << size) - 1))
+    def cost(segments: int) -> float:
+        keys = masks(segments, bits, within)
+        return len(keys) * (left + right) + CANDIDATE_COST * left * right * sum(2.0 ** -m.bit_count() for m in keys)
 
-    keys = []
-    for number, (first, second) in enumerate(segment_pairs(bits, within)):
-        both = F.shiftleft(cut(first), second[1]).bitwiseOR(cut(second))
-        keys.append(F.lit(number << (first[1] + second[1])).cast("long") + both)
-    return F.array(*keys)
+    return min(range(within + 1, min(MOST_SEGMENTS, bits) + 1, 2), key=cost)
+
+
+def keyed(rows: DataFrame, value: str, segments: int, bits: int = BITS, within: int = WITHIN) -> DataFrame:
+    """``rows`` once for each key of ``value``: its number ``g`` and its bits ``key``."""
+    each = F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks(segments, bits, within)))).alias("_g", "_mask")
+    rows = rows.select(*rows.columns, each)
+    return rows.withColumns({"g": F.col("_g").cast("short"), "key": F.col(value).bitwiseAND(F.col("_mask"))}).drop("_g", "_mask")
 
 
 def close(left: Column, right: Column, within: int = WITHIN) -> Column:
@@ -54,26 +62,47 @@ def close(left: Column, right: Column, within: int = WITHIN) -> Column:
     return F.bit_count(left.bitwiseXOR(right)) <= within
 
 
+def first_shared(left: Column, right: Column, segments: int, bits: int = BITS, within: int = WITHIN) -> Column:
+    """The number of the first key two bit strings share, in which alone they are to be paired."""
+    differ, out = left.bitwiseXOR(right), F.when(F.lit(False), F.lit(0))
+    for number, mask in enumerate(masks(segments, bits, within)):
+        out = out.when(differ.bitwiseAND(F.lit(mask).cast("long")) == 0, F.lit(number))
+    return out
+
+
 def blocked(left: DataFrame, right: DataFrame, key: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``block``: a key of more than ``rows`` rows on the right is cut
-    into blocks, each of which meets every left row of the key, so no task gets a whole hot key."""
+    """Both sides with a column ``block``: a key of more than ``rows`` rows on either side is cut into
+    blocks on both, and each block of one side meets each of the other once, so no task gets a
+    whole hot key. Hot keys are at most one in ``rows`` rows; they are counted with partial sums."""
     rows = BLOCK_ROWS if rows is None else rows
-    hot = right.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    hot = cut(hot.select(*key, F.ceil(F.col("_n") / rows).cast("int").alias("_blocks")))
+    side = lambda df, l, r: df.select(*key, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    hot = side(left, 1, 0).unionAll(side(right, 0, 1)).groupBy(*key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    hot = hot.where((F.col("_l") > 0) & (F.col("_r") > 0) & ((F.col("_l") > rows) | (F.col("_r") > rows)))
+    hot = cut(hot.select(*key, *(F.ceil(F.col(c) / rows).cast("int").alias(c) for c in ("_l", "_r"))))
     if hot.isEmpty():
         return left.withColumn("block", F.lit(0)), right.withColumn("block", F.lit(0))
-    blocks = F.coalesce("_blocks", F.lit(1))
-    names = right.columns
-    right = right.join(hot, key, "left").withColumn("block", F.pmod(F.hash(*names), blocks)).drop("_blocks")
-    left = left.join(hot, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
-    return left, right
+    l, r = F.coalesce("_l", F.lit(1)), F.coalesce("_r", F.lit(1))  # noqa: E741
+    own = lambda df, n: F.pmod(F.hash(*df.columns), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = left.join(hot, key, "left").withColumn("_own", own(left, l)).withColumn("_other", every(r)).withColumn("block", F.col("_own") * r + F.col("_other"))
+    b = right.join(hot, key, "left").withColumn("_own", own(right, r)).withColumn("_other", every(l)).withColumn("block", F.col("_other") * r + F.col("_own"))
+    return tuple(df.drop("_l", "_r", "_own", "_other") for df in (a, b))
+
+
+def joined(left: DataFrame, right: DataFrame, key: list[str], rows: int | None = None) -> DataFrame:
+    """Inner join of which no task gets a whole hot key."""
+    left, right = blocked(left, right, key, rows)
+    return left.join(right, [*key, "block"]).drop("block")
 
 
 def close_pairs(left: DataFrame, right: DataFrame, bits: int = BITS, within: int = WITHIN) -> DataFrame:
-    """All pairs (a, b) of different or equal values of ``left.a`` and ``right.b`` that are close.
+    """All pairs (a, b) of different or equal values of ``left.a`` and ``right.b`` that are close, each once.
 
-    Both sides are made distinct first, so copies meet once; nulls meet nothing.
+    Both sides are made distinct first, so copies meet once; nulls meet nothing. A pair that shares
+    several keys comes out at the first.
     """
-    keyed = lambda df, c: cut(df.select(c).where(F.col(c).isNotNull()).distinct()).select(c, F.explode(segment_keys(F.col(c), bits, within)).alias("key"))
-    left, right = blocked(keyed(left, "a"), keyed(right, "b"), ["key"])
-    return left.join(right, ["key", "block"]).where(close(F.col("a"), F.col("b"), within)).select("a", "b").distinct()
+    sides = [cut(df.select(c).where(F.col(c).isNotNull()).distinct()) for df, c in ((left, "a"), (right, "b"))]
+    segments = segments_for(*(df.count() for df in sides), bits, within)
+    a, b = (keyed(df, df.columns[0], segments, bits, within) for df in sides)
+    pairs = joined(a, b, ["g", "key"]).where(close(F.col("a"), F.col("b"), within))
+    return pairs.where(first_shared(F.col("a"), F.col("b"), segments, bits, within) == F.col("g")).select("a", "b")

@@ -16,6 +16,8 @@ n AS (SELECT eval_id, count(*) AS pairs FROM pairs GROUP BY eval_id)
 SELECT split, source_id, count(*) AS records, count(pairs) AS overlapping, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs
 FROM e LEFT JOIN n USING (eval_id) GROUP BY split, source_id"""
 
+P1_TRAIN_KEPT = f"WITH {_PAIRS} SELECT DISTINCT id AS external_record_id FROM r WHERE split = 'train' AND id IS NOT NULL AND id NOT IN (SELECT train_id FROM pairs)"
+
 _LINK = "CASE WHEN lower(trim({0}, ' ' || chr(9))) NOT IN ('', 'na', 'n/a', 'unknown', '-') THEN lower(trim({0}, ' ' || chr(9))) END"
 
 P5_FOUND = f"""WITH RECURSIVE m AS (SELECT record_id, {_LINK.format("package_id")} AS p, {_LINK.format("sequence_id")} AS s,
