@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from veritrail.llm import splits
 
 COLUMNS = "record_id string, package_id string, sequence_id string, split string, root string, node int"
@@ -42,7 +44,9 @@ def random_rows(rng, n, prefix="R"):
     return rows
 
 
-def test_torn_groups(spark, tmp_path):
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_torn_groups(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(splits, "BLOCK_ROWS", block)
     rng = random.Random(3)
     rows = random_rows(rng, 150)
     rows += [(f"H{i:03}", "hot", None, "train") for i in range(80)] + rows[:15] + [("H000", "p1", None, None)]
@@ -83,9 +87,17 @@ def test_new_groups_fill_deficits(spark, tmp_path):
     assert all(len(v) == 1 for v in by_group.values())
 
 
-def test_batches_keep_and_merge(spark, tmp_path):
+@pytest.mark.parametrize(("reopen", "compact"), [(False, 16), (True, 16), (True, 2)])
+def test_batches_keep_and_merge(spark, tmp_path, monkeypatch, reopen, compact):
+    monkeypatch.setattr(splits, "COMPACT", compact)
     table = splits.ComponentTable(spark, str(tmp_path / "t"))
-    add = lambda rows: {r.record_id: (r.split, r.state) for r in splits.assigned(frame(spark, rows), table).collect()}
+
+    def add(rows):
+        nonlocal table
+        if reopen:
+            table = splits.ComponentTable(spark, f"file://{tmp_path}/t")
+        return {r.record_id: (r.split, r.state) for r in splits.assigned(frame(spark, rows), table).collect()}
+
     first = add([("a", "p1", None, "train"), ("b", "p2", None, "train"), ("c", "p3", None, "test"), ("d", "p4", None, None)])
     assert first["a"] == ("train", "kept") and first["c"] == ("test", "kept") and first["d"][1] == "filled"
     # e joins a kept group, f merges two of the same split, g two of different ones
@@ -98,6 +110,19 @@ def test_batches_keep_and_merge(spark, tmp_path):
     assert {v for v in fourth.values()} == {(None, "quarantined")}
     roots = {bytes(r.root) for r in table.members().join(splits.manifest_links(frame(spark, [("x", p, None, None) for p in ("p1", "p2", "p3")])).select("node"), "node").collect()}
     assert len(roots) == 1
+    # the splits' sizes in the commit are those of the states
+    sizes = Counter()
+    for r in table.states().collect():
+        sizes[r.split] += r.records
+    assert {k: v for k, v in table.commits[-1]["totals"].items() if v} == dict(sizes)
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = (splits.ComponentTable(spark, str(tmp_path / "t")) for _ in range(2))
+    splits.assigned(frame(spark, [("a", "p1", None, "train")]), one)
+    with pytest.raises(FileExistsError):
+        splits.assigned(frame(spark, [("b", "p2", None, "val")]), two)
+    assert splits.ComponentTable(spark, str(tmp_path / "t")).states().count() == 1
 
 
 def test_batches_together_give_the_same_groups(spark, tmp_path):
