@@ -78,6 +78,39 @@ def test_blocks_of_items(spark, items, monkeypatch):
     assert found(spark, documents, items) == {(n, n) for n in range(12)}
 
 
+@pytest.mark.parametrize("block", [2, 5, 5000])
+def test_leads_and_rarity_do_not_depend_on_blocks(spark, monkeypatch, block):
+    """Six items that share a lead and six that are nearly equal: what a lead is and what is rare is known to all blocks."""
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", block)
+    rng = random.Random(5)
+    led = [(n, f"{LEAD} {sentence(rng)}") for n in range(6)]
+    common = sentence(rng, 40)[:-1]
+    alike = [(10 + n, f"{common} end{n}.") for n in range(6)]
+    documents = [LEAD, common, passage(led, 2)]
+    assert found(spark, documents, led + alike) == {(1, 10 + n) for n in range(6)} | {(2, 2)}
+
+
+def test_short_chinese_items_long_tags_and_short_items(spark):
+    rng = random.Random(6)
+    short = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(15))
+    text = sentence(rng, 30)
+    link = f'<a href="https://x.org/{"a" * 400}" title="{"b" * 300}">'
+    linked = " ".join(f"{link}{w}</a>" if n % 2 else w for n, w in enumerate(text.split()))
+    items = [(1, short), (2, text), (3, "alpha beta gamma"), (4, "one two")]
+    assert found(spark, [short, linked, "so alpha beta gamma is", "one two", "if a <b and c> d"], items) == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_rows_computed_again_give_the_same_path(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 15, 16, 17, 50):
+        a, b = rng.integers(1, 5, n), rng.integers(1, 5, 60)
+        whole = leaks.path(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(leaks, "KEPT_CELLS", 0)
+            again = leaks.path(a, b)
+        assert whole[1] == again[1] and np.array_equal(whole[0], again[0])
+
+
 def test_empty_tables(spark, items):
     assert found(spark, [], items) == set()
     assert found(spark, ["some text"], []) == set()
