@@ -14,27 +14,28 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hashed features, the longest n-gram, and the most labelled documents a model is fitted on.
 FEATURES, NGRAM, SAMPLE = 1 << 18, 3, 4_000
 #: The share of a document's sentences that must treat an area.
 SHARE = 0.25
-#: One in so many sampled documents is kept out of the first fits to calibrate thresholds on; an area
-#: with this many of them gets its own threshold.
-HELD_OUT, OWN_THRESHOLD = 4, 60
-#: Rounds of the first fit and of the one that follows, and of the last, which begins where that ended.
-COARSE, FINE = 12, 25
+#: One in so many sampled documents is kept out of the first fits to calibrate thresholds on. An area's own
+#: threshold is drawn to that of all areas as if so many documents of it spoke for that.
+HELD_OUT, SHARED_WEIGHT = 4, 60
+#: A fit has settled when so many rounds in a row lower the least loss so far by less than this share of it
+#: each; the most rounds. Smaller shares follow the wrong labels: agreement on documents kept out falls.
+SETTLED, QUIET, MOST_ROUNDS = 0.02, 4, 200
 
 _TAG = re.compile(r"</?\s*(p|br|li|div|ul|ol|h\d|tr|td)\b[^<>]*>", re.I)
-_OTHER_TAG = re.compile(r"<[^<>]{0,200}>")
+_OTHER_TAG = re.compile(r"""<[^<>]{0,200}+>|<[/!]?[a-z][\w:-]*+\s(?=[^<>"'=]*+["'=])[^<>]*+>""", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[.!?][\"')\]»”])\s+|(?<=。)")
 _UNIT = re.compile("[぀-ヿ㐀-鿿豈-﫿]|[^\\W\\d_぀-ヿ㐀-鿿豈-﫿]+|\\d+")
 
@@ -118,41 +119,89 @@ class Model:
         return table / np.maximum(table.sum(axis=1, keepdims=True), 1)
 
 
-def _fit(
-    features: np.ndarray, owner: np.ndarray, targets: np.ndarray, rounds: int, start: Model | None = None, rate: float = 0.5, ridge: float = 1e-7
-) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases of logistic regressions, one for each column of ``targets``, by full
-    gradients with adaptive steps, from those of ``start`` on."""
-    count, areas = targets.shape
+@dataclass
+class Examples:
+    """Sentences of labelled documents: the feature and the sentence of each n-gram, the document of each
+    sentence and the areas each document is labelled with."""
+
+    features: np.ndarray
+    owner: np.ndarray
+    document: np.ndarray
+    wanted: np.ndarray
+
+    def of(self, documents: np.ndarray) -> Examples:
+        """The part of the documents for which ``documents`` is true."""
+        rows = documents[self.document]
+        keep = rows[self.owner]
+        number = np.cumsum(rows) - 1
+        return Examples(self.features[keep], number[self.owner[keep]].astype(np.int32), self.document[rows], self.wanted)
+
+
+#: Fits one regression for each column of the targets: examples, targets and where to start.
+FitAll = Callable[[Examples, np.ndarray, "Model | None"], tuple[np.ndarray, np.ndarray]]
+
+
+def fit_area(examples: Examples, target: np.ndarray, start: tuple[np.ndarray, float] | None = None, settled: float = SETTLED, rate: float = 0.5, ridge: float = 1e-7) -> tuple[np.ndarray, float, int]:
+    """Weights and bias of the logistic regression of one area, by full gradients with adaptive steps from
+    ``start`` on until the loss has settled, and the number of rounds that took."""
+    features, owner, count = examples.features, examples.owner, len(target)
+    out = np.zeros(FEATURES, np.float32) if start is None else start[0].astype(np.float32)
+    b = np.float32(0 if start is None else start[1])
     sizes = np.sqrt(np.maximum(np.bincount(owner, minlength=count), 1)).astype(np.float32)
-    by_owner = np.argsort(owner, kind="stable")
-    filled, own_at = np.unique(owner[by_owner], return_index=True)
-    by_feature = np.argsort(features, kind="stable")
-    used, at = np.unique(features[by_feature], return_index=True)
-    owners = owner[by_feature]
-    local = np.searchsorted(used, features[by_owner])
-    out = np.zeros((FEATURES, areas), np.float32) if start is None else start.weights.copy()
-    w, b = out[used], np.zeros(areas, np.float32) if start is None else start.bias.astype(np.float32)
-    gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    for _ in range(rounds):
-        z = np.zeros((count, areas), np.float32)
-        z[filled] = np.add.reduceat(w[local], own_at, axis=0)
-        error = 1 / (1 + np.exp(-np.clip(z / sizes[:, None] + b, -30, 30))) - targets
-        slope = np.add.reduceat((error / sizes[:, None])[owners], at, axis=0) + ridge * count * w
+    used, local = np.unique(features, return_inverse=True)
+    w, target = out[used], target.astype(np.float32)
+    share = 1 / sizes[owner]
+    gw, gb, before, quiet = np.full_like(w, 1e-6), np.float32(1e-6), np.inf, 0
+    for number in range(1, MOST_ROUNDS + 1):
+        z = np.bincount(owner, weights=w[local], minlength=count).astype(np.float32) / sizes + b
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        loss = -np.where(target > 0, target * np.log(np.maximum(p, 1e-9)), 0).sum() - ((1 - target) * np.log(np.maximum(1 - p, 1e-9))).sum()
+        quiet = quiet + 1 if number > 1 and before - loss < settled * before else 0
+        if quiet == QUIET:
+            break
+        before, error = min(loss, before), p - target
+        slope = np.bincount(local, weights=error[owner] * share, minlength=len(used)).astype(np.float32) + ridge * count * w
         gw += slope**2
         w -= rate * slope / np.sqrt(gw)
-        whole = error.sum(axis=0)
+        whole = error.sum()
         gb += whole**2
         b -= rate * whole / np.sqrt(gb)
     out[used] = w
-    return out, b
+    return out, float(b), number
+
+
+def fit_here(examples: Examples, targets: np.ndarray, start: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """All areas, one after the other."""
+    found = [fit_area(examples, targets[:, a], None if start is None else (start.weights[:, a], start.bias[a])) for a in range(targets.shape[1])]
+    return np.stack([w for w, _, _ in found], axis=1), np.array([b for _, b, _ in found])
 
 
-def _sharp(model: Model, features: np.ndarray, owner: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def fit_spread(spark: SparkSession, settled: float = SETTLED) -> FitAll:
+    """Each area in a task of its own; what is sent is bounded by the sample."""
+
+    def fit_all(examples: Examples, targets: np.ndarray, start: Model | None) -> tuple[np.ndarray, np.ndarray]:
+        sent = spark.sparkContext.broadcast((examples, targets, start))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            examples, targets, start = sent.value
+            for batch in batches:
+                for a in batch["id"]:
+                    w, b, _ = fit_area(examples, targets[:, a], None if start is None else (start.weights[:, a], start.bias[a]), settled)
+                    yield pd.DataFrame({"area": [a], "weights": [w.tobytes()], "bias": [b]})
+
+        areas = targets.shape[1]
+        found = sorted(spark.range(0, areas, 1, areas).mapInPandas(run, "area bigint, weights binary, bias double").collect())
+        sent.destroy()
+        return np.stack([np.frombuffer(r["weights"], np.float32) for r in found], axis=1), np.array([r["bias"] for r in found])
+
+    return fit_all
+
+
+def _sharp(model: Model, examples: Examples, targets: np.ndarray) -> np.ndarray:
     """Each sentence's best area instead of all those of its document. A sentence whose best area is
     none of its document's treats it in passing, if it is sure, and else it treats none. One that
     scores little better than any sentence would is a remark and treats none either."""
-    scores = model.scores(features, owner, len(targets))
+    scores = model.scores(examples.features, examples.owner, len(targets))
     best, row = scores.argmax(axis=1), np.arange(len(targets))
     usual = (targets / np.maximum(targets.sum(axis=1, keepdims=True), 1)).mean(axis=0)
     least = np.clip(1.5 * usual, 0.25, 0.5)[best]
@@ -168,65 +217,66 @@ def _agreement(shares: np.ndarray, labels: np.ndarray) -> float:
     return 2 * (found & labels).sum() / max(1, found.sum() + labels.sum())
 
 
-def fit(texts: list[str], labels: list[set[str]], areas: list[str]) -> Model:
-    """A model from labelled documents; without any it finds nothing."""
-    parts = [sentences(t) for t in texts]
-    flat = [s for part in parts for s in part]
-    if not flat:
+def fit(examples: Examples, areas: list[str], fit_all: FitAll = fit_here) -> Model:
+    """A model from the sentences of labelled documents; without any it finds nothing."""
+    if not len(examples.features):
         return Model(areas, np.zeros((FEATURES, len(areas)), np.float32), np.zeros(len(areas)), np.full(len(areas), 2.0))
-    document = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    wanted = np.array([[a in own for a in areas] for own in labels])
-    features, owner = Hasher().features(flat)
-    # an n-gram of one document says nothing about others
-    seen = np.unique(features * len(parts) + document[owner]) // len(parts)
-    common = np.isin(features, np.flatnonzero(np.bincount(seen, minlength=FEATURES) > 1))
-    features, owner = features[common], owner[common]
-    targets = wanted[document].astype(np.float32)
-    held = np.arange(len(parts)) % HELD_OUT == 0
-    rows = ~held[document]
-    keep = rows[owner]
-    own = features[keep], (np.cumsum(rows) - 1)[owner[keep]]
-    half, first = np.full(len(areas), 0.5), targets[rows]
-    model = Model(areas, *_fit(*own, first / np.maximum(first.sum(axis=1, keepdims=True), 1), COARSE), half)
-    model = Model(areas, *_fit(*own, _sharp(model, *own, first), FINE), half)
-    rest = np.flatnonzero(held[document])
-    scores = model.scores(features[~keep], np.searchsorted(rest, owner[~keep]), len(rest))
+    count, wanted = len(examples.wanted), examples.wanted
+    held = np.arange(count) % HELD_OUT == 0
+    rest, own = examples.of(held), examples.of(~held)
+    half, targets = np.full(len(areas), 0.5), wanted[own.document].astype(np.float32)
+    model = Model(areas, *fit_all(own, targets / np.maximum(targets.sum(axis=1, keepdims=True), 1), None), half)
+    model = Model(areas, *fit_all(own, _sharp(model, own, targets), None), half)
+    scores = model.scores(rest.features, rest.owner, len(rest.document))
     grid = np.arange(0.1, 0.91, 0.05)
 
     def agreement(thresholds: np.ndarray) -> float:
         model.thresholds = thresholds
-        return _agreement(model.shares(scores, document[rest], len(parts))[held], wanted[held])
-
-    thresholds = np.full(len(areas), max(grid, key=lambda t: (agreement(np.full(len(areas), t)), -abs(t - 0.4))))
-    for area in np.flatnonzero(wanted[held].sum(axis=0) >= OWN_THRESHOLD):
-        each = [np.where(np.arange(len(areas)) == area, t, thresholds) for t in grid]
-        thresholds = max(each, key=lambda t: (agreement(t), -abs(t[area] - thresholds[area])))
+        return _agreement(model.shares(scores, rest.document, count)[held], wanted[held])
+
+    shared = max(grid, key=lambda t: (agreement(np.full(len(areas), t)), -abs(t - 0.4)))
+    thresholds, support = np.full(len(areas), shared), wanted[held].sum(axis=0)
+    for area in range(len(areas)):
+        each = [np.where(np.arange(len(areas)) == area, t, shared) for t in grid]
+        best = max(each, key=lambda t: (agreement(t), -abs(t[area] - shared)))[area]
+        thresholds[area] = (support[area] * best + SHARED_WEIGHT * shared) / (support[area] + SHARED_WEIGHT)
     model.thresholds = thresholds
-    w, b = _fit(features, owner, _sharp(model, features, owner, targets), COARSE, model)
+    w, b = fit_all(examples, _sharp(model, examples, wanted[examples.document].astype(np.float32)), model)
     return Model(areas, w, b, thresholds)
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE, seed: int = 0) -> Model:
-    """A model fitted on at most ``sample`` labelled documents, those first by a hash of their id,
-    in one task."""
+    """A model fitted on at most ``sample`` labelled documents, those first by a hash of their id. Their
+    n-grams are found in parallel and each area is fitted in a task of its own."""
     areas = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect())
     own = labels.where(F.col("subject").isin(areas)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     texts = documents.select("doc_id", "text").where(F.col("text") != "")
     order = F.xxhash64("doc_id", F.lit(seed))
     rows = texts.join(own, "doc_id").withColumn("place", order).orderBy("place", "doc_id", "text").limit(sample)
+    spark = documents.sparkSession
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if parts:
-            all_rows = pd.concat(parts)
-            model = fit(all_rows["text"].tolist(), [set(s) for s in all_rows["subjects"]], areas)
-            yield pd.DataFrame({"weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias.tolist()], "thresholds": [model.thresholds.tolist()]})
-
-    found = rows.select("text", "subjects").coalesce(1).mapInPandas(run, "weights binary, bias array<double>, thresholds array<double>").collect()
-    if not found:
-        return fit([], [], areas)
-    weights = np.frombuffer(found[0]["weights"], dtype=np.float32).reshape(FEATURES, len(areas))
-    return Model(areas, weights, np.array(found[0]["bias"]), np.array(found[0]["thresholds"]))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for batch in batches:
+            parts = [sentences(t) for t in batch["text"]]
+            found = [hasher.features(p) for p in parts]
+            yield batch[["place", "doc_id", "subjects"]].assign(
+                sentences=[len(p) for p in parts], features=[f.astype(np.int32).tobytes() for f, _ in found], owner=[o.astype(np.int32).tobytes() for _, o in found]
+            )
+
+    layout = "place bigint, doc_id bigint, subjects array<string>, sentences int, features binary, owner binary"
+    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = sorted(spread.mapInPandas(read, layout).collect(), key=lambda r: (r["place"], r["doc_id"], r["features"]))  # the sample
+    sizes = np.array([r["sentences"] for r in found], dtype=np.int64)
+    start = np.cumsum(sizes) - sizes
+    joined = lambda parts: np.concatenate([np.empty(0, np.int32), *parts])
+    examples = Examples(
+        joined(np.frombuffer(r["features"], np.int32) for r in found),
+        joined(np.frombuffer(r["owner"], np.int32) + np.int32(at) for r, at in zip(found, start)),
+        np.repeat(np.arange(len(found)), sizes),
+        np.array([[a in r["subjects"] for a in areas] for r in found], dtype=bool).reshape(len(found), len(areas)),
+    )
+    return fit(examples, areas, fit_spread(spark))
 
 
 def areas_of(documents: DataFrame, model: Model) -> DataFrame:
