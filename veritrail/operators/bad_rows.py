@@ -4,8 +4,9 @@ A record is read by an automaton over quotes, delimiters and other text. Dynamic
 finds the fewest insertions and deletions of quotes and delimiters after which the automaton reads
 the record as the wanted number of fields. A record of cost zero has exactly one reading and loads
 if its values have the right types. Of any other record the edits say what is wrong with it, and
-the reason is QUOTING unless it can be read without any edit as another number of fields: the
-automaton is deterministic, so the reading of cost zero over all numbers of fields is one pass.
+the reason is read from the costs: QUOTING if edits are due whatever the number of fields, else
+COLUMN_COUNT. The automaton is deterministic, so whether a reading costs nothing is one pass, which
+spares sound records the programmes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 QUOTING, COLUMN_COUNT = "QUOTING", "COLUMN_COUNT"
 #: Structural marks after which a layer is kept; those between are computed again to trace the edits.
 BLOCK_MARKS = 4096
+#: Readings that are kept for records of the same marks, and the most marks of such a record: some megabytes.
+KEPT_READINGS, KEPT_MARKS = 1 << 14, 256
 
 _FAR = np.int64(1) << 60
 _START, _PLAIN, _QUOTED, _CLOSED = range(4)
@@ -153,23 +156,42 @@ def _edits(layers: _Layers, marks: str, state: int, k: int) -> str:
         state, k = source, k - back
 
 
-def error_parse(marks: str, columns: int) -> tuple[int, bool, str]:
-    """The fewest edits to read ``marks`` as ``columns`` fields, whether the quoting is sound as it
-    is, and the edits. Readings of short records are kept."""
-    return _kept_parse(marks, columns) if len(marks) < BLOCK_MARKS else _parse(marks, columns)
+def quoting_cost(marks: str) -> int:
+    """The fewest edits to read ``marks`` as any number of fields: the programme without the fields."""
+    far = int(_FAR)
+    start, plain, quoted, closed = 0, far, far, far
+    for mark in (*marks, None):
+        for _ in range(2):
+            quoted = min(quoted, start + 1, closed + 1)
+            closed = min(closed, quoted + 1)
+            start = min(start, plain + 1, closed + 1)
+        if mark == '"':
+            opened = min(start, closed)
+            start, plain, quoted, closed = start + 1, plain + 1, min(quoted + 1, opened), min(closed + 1, quoted)
+        elif mark == ",":
+            start, plain, closed = min(start, plain, closed), plain + 1, closed + 1
+        elif mark:
+            start, plain, closed = far, min(start, plain), far
+    return min(start, plain, closed)
+
+
+def error_parse(marks: str, columns: int) -> tuple[int, int, str]:
+    """The fewest edits to read ``marks`` as ``columns`` fields, the fewest to read them as any number of
+    fields, and the edits of the former. Readings of short records are kept."""
+    return _kept_parse(marks, columns) if len(marks) <= KEPT_MARKS else _parse(marks, columns)
 
 
-def _parse(marks: str, columns: int) -> tuple[int, bool, str]:
+def _parse(marks: str, columns: int) -> tuple[int, int, str]:
     sound = _sound_fields(marks)
     if sound == columns:
-        return 0, True, ""
+        return 0, 0, ""
     layers = _Layers(marks, columns)
     cost = layers[len(marks)][1]
     state = min((_START, _PLAIN, _CLOSED), key=lambda s: cost[s, columns - 1])
-    return int(cost[state, columns - 1]), sound > 0, _edits(layers, marks, state, columns - 1)
+    return int(cost[state, columns - 1]), 0 if sound else quoting_cost(marks), _edits(layers, marks, state, columns - 1)
 
 
-_kept_parse = lru_cache(maxsize=1 << 16)(_parse)
+_kept_parse = lru_cache(maxsize=KEPT_READINGS)(_parse)
 
 
 def _split_sound(line: str) -> list[str]:
@@ -199,21 +221,21 @@ def _split_sound(line: str) -> list[str]:
 
 
 _PARSED = T.StructType(
-    [T.StructField("cost", T.LongType()), T.StructField("sound", T.BooleanType()), T.StructField("edits", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))]
+    [T.StructField("cost", T.LongType()), T.StructField("quoting", T.LongType()), T.StructField("edits", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))]
 )
 
 
 def parsed(line: Column, columns: int) -> Column:
-    """Struct of cost, soundness of the quoting, edits and, at cost zero, the fields of a record. A null
+    """Struct of cost, cost of the quoting alone, edits and, at cost zero, the fields of a record. A null
     line is an empty one."""
 
     def parse(lines: pd.Series) -> pd.DataFrame:
         found = []
         for text in lines:
             text = text or ""
-            cost, sound, edits = error_parse(structure(text), columns)
-            found.append((cost, sound, edits, None if cost else _split_sound(text)))
-        return pd.DataFrame(found, columns=["cost", "sound", "edits", "fields"])
+            cost, quoting, edits = error_parse(structure(text), columns)
+            found.append((cost, quoting, edits, None if cost else _split_sound(text)))
+        return pd.DataFrame(found, columns=["cost", "quoting", "edits", "fields"])
 
     # or else the optimizer parses again for each condition that it moves down
     return F.pandas_udf(parse, _PARSED).asNondeterministic()(line)
@@ -253,7 +275,7 @@ def _read(raw: DataFrame, id_column: str, line_column: str, columns: tuple[str,
     value = {c: F.btrim(F.col("_read.fields").getItem(i), F.lit(" \t")) for i, c in enumerate(columns)}
     typed = [F.when(~F.coalesce(good(value[c]), F.lit(False)), F.lit(reason)) for reason, (c, good) in checks.items()]
     reasons = (
-        F.when(~F.col("_read.sound"), F.array(F.lit(QUOTING)))
+        F.when(F.col("_read.quoting") > 0, F.array(F.lit(QUOTING)))
         .when(F.col("_read.cost") > 0, F.array(F.lit(COLUMN_COUNT)))
         .otherwise(F.array_compact(F.array(*typed)))
     )
