@@ -85,3 +85,24 @@ def test_documents_in_many_wrappings_are_read():
     for _ in range(40):
         value = {"payload": value}
     assert nested.document(json.dumps(json.dumps(value)), SHAPE) == {"warnings": ["a"]}
+
+
+def test_member_tables_keep_values_and_links(spark):
+    text = json.dumps({"regions": [{"x1": 1, "y1": "2", "change_type": "dent", "overlapping_known_damage": ["D01", None]}, {"overlapping_known_damage": "D02"}], "warnings": ["a \"b\"", None]})
+    rows = spark.createDataFrame([(5, text), (6, None), (7, "{")], "id long, result_json string")
+    regions = {r.item_no: r for r in nested.member_table(rows, "pair_changes", "regions").collect()}
+    assert (regions[0].x1, regions[0].y1, regions[0].x2, regions[0].change_type, regions[1].x1) == (1.0, 2.0, None, "dent", None)
+    damage = nested.member_table(rows, "pair_changes", "regions.overlapping_known_damage").collect()
+    assert sorted((r.item_no, r.sub_no, r.class_code) for r in damage) == [(0, 0, "D01"), (1, 0, "D02")]
+    assert all(regions[r.item_no].pre == r.parent_pre < r.pre and regions[r.item_no].post > r.post for r in damage)
+    assert [(r.warning, r.parent_pre) for r in nested.member_table(rows, "pair_changes", "warnings").collect()] == [('a "b"', None)]
+    boxes = spark.createDataFrame([(1, '{"x": 1, "y": 2, "w": 3, "h": 4}'), (2, "[[0, 1, 2, 3], [4, 5, 6, 7]]"), (3, '["nan", 1, 2, 3]'), (4, '["1_0", 1, 2, 3]')], "id long, bbox_json string")
+    assert sorted(tuple(r) for r in nested.member_table(boxes, "detections", "bbox").select("parent_id", "item_no", "x1", "y1", "x2", "y2").collect()) == [(1, 0, 1, 2, 4, 6), (2, 0, 0, 1, 2, 3), (2, 1, 4, 5, 6, 7)]
+
+
+def test_deep_documents_keep_their_members_and_unreadable_ones_are_named(spark):
+    deep = '{"regions": [{"m": ' + "[" * 900 + "]" * 900 + '}], "warnings": ["a"]}'
+    texts = [deep, "[" * 200_000, "n/a", '"n/a"', "", "null", None, "{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, result_json string")
+    assert members(spark, "pair_changes", texts) == [(0, "regions", 0, -1), (0, "warnings", 0, -1)]
+    assert sorted(r.parent_id for r in nested.unreadable_documents(rows, "id", "result_json", SHAPE).collect()) == [1, 2, 3, 4]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import bad_rows, nested, orphans
 from veritrail.plans.registry import Registry
-from veritrail.plans.views import BOX, BOX_MEMBERS, documents, listed
+from veritrail.plans.views import BOX, BOX_CORNERS, BOX_MEMBERS, documents, listed
 from veritrail.session import table
 
 registry = Registry()
@@ -100,10 +100,68 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 @registry.query()
 def p3_nodes(spark: SparkSession, directory: str) -> DataFrame:
-    """The labelled nodes of pair_changes with their intervals."""
-    column, shape = nested.EVIDENCE_DOCUMENTS["pair_changes"]
-    nodes = nested.node_table(table(spark, directory, "pair_changes"), "id", column, shape)
-    return nodes.withColumn("item_path", F.element_at(F.array(*map(F.lit, shape.paths)), F.col("item_path") + 1))
+    """The labelled nodes of all three tables with their intervals."""
+    parts = []
+    for name, (column, shape) in nested.EVIDENCE_DOCUMENTS.items():
+        nodes = nested.node_table(table(spark, directory, name), "id", column, shape)
+        path = F.element_at(F.array(*map(F.lit, shape.paths)), F.col("item_path") + 1)
+        parts.append(nodes.withColumn("item_path", path).withColumn("parent_table", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _tables(spark: SparkSession, directory: str, path: str, *names: str) -> DataFrame:
+    """The members of one list of the named tables, rows delivered twice once."""
+    parts = [nested.member_table(table(spark, directory, n), n, path).drop("pre", "post", "parent_pre").withColumn("parent_table", F.lit(n)) for n in names]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def _values(name: str, path: str, source: str, keep: str) -> str:
+    fields = [f"TRY_CAST(json_extract_string(m, '{where}') AS {'DOUBLE' if kind == nested.NUMBERS else 'VARCHAR'}) AS {field}" for field, (where, kind) in nested.MEMBER_FIELDS[name, path].items()]
+    return f"SELECT DISTINCT '{name}' AS parent_table, id AS parent_id, {keep}, {', '.join(fields)} FROM ({source}) WHERE json_type(m) <> 'NULL'"
+
+
+def _outer_values(name: str, path: str) -> str:
+    return _values(name, path, listed(documents(name, "result_json"), f"json_extract(doc, '$.{path}')", "id"), "no AS item_no, CAST(-1 AS BIGINT) AS sub_no")
+
+
+@registry.query(sql=_outer_values("pair_changes", "regions"))
+def p3_regions(spark: SparkSession, directory: str) -> DataFrame:
+    return _tables(spark, directory, "regions", "pair_changes")
+
+
+@registry.query(sql=_values("pair_changes", "regions.overlapping_known_damage", _INNER, "no AS item_no, sub AS sub_no"))
+def p3_known_damage(spark: SparkSession, directory: str) -> DataFrame:
+    return _tables(spark, directory, "regions.overlapping_known_damage", "pair_changes")
+
+
+@registry.query(sql=f"{_outer_values('pair_changes', 'warnings')} UNION ALL {_outer_values('surface_analysis', 'warnings')}")
+def p3_warnings(spark: SparkSession, directory: str) -> DataFrame:
+    return _tables(spark, directory, "warnings", "pair_changes", "surface_analysis")
+
+
+@registry.query(sql=_outer_values("surface_analysis", "detections"))
+def p3_detections(spark: SparkSession, directory: str) -> DataFrame:
+    return _tables(spark, directory, "detections", "surface_analysis")
+
+
+@registry.query(sql=f"SELECT DISTINCT 'detections' AS parent_table, id AS parent_id, no AS item_no, CAST(-1 AS BIGINT) AS sub_no, {BOX_CORNERS} FROM ({BOX_MEMBERS}) WHERE {BOX}")
+def p3_boxes(spark: SparkSession, directory: str) -> DataFrame:
+    return _tables(spark, directory, "bbox", "detections")
+
+
+@registry.query(
+    sql=" UNION ALL ".join(
+        f"SELECT DISTINCT '{n}' AS parent_table, id AS parent_id FROM ({documents(n, column, f'id, {column} AS text', unreadable=True)}) WHERE text IS NOT NULL AND doc IS NULL"
+        for n, (column, _) in nested.EVIDENCE_DOCUMENTS.items()
+    )
+)
+def p3_unreadable(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents that give no rows because they are no JSON."""
+    parts = [nested.unreadable_documents(table(spark, directory, n), "id", column, shape).select(F.lit(n).alias("parent_table"), "parent_id") for n, (column, shape) in nested.EVIDENCE_DOCUMENTS.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 @registry.query(sql=f"SELECT DISTINCT child_table, child_id, ref_field FROM ({_ORPHANS})")

@@ -82,9 +82,9 @@ BOX = f"""CASE json_type(m) WHEN 'ARRAY' THEN json_array_length(m) = 4 AND list_
 WHEN 'OBJECT' THEN {_NAMED} ELSE false END"""
 _MEMBER = f"SELECT *, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS no FROM (SELECT * EXCLUDE (m), CASE WHEN json_type(m) = 'ARRAY' AND NOT ({BOX}) THEN CAST(m AS JSON[]) ELSE [m] END AS l FROM (SELECT * EXCLUDE (doc), doc AS m FROM ({{0}})))"
 BOX_MEMBERS = _MEMBER.format(documents("detections", "bbox_json"))
-_CORNERS = ", ".join(f"CAST(json_extract_string(m, CASE json_type(m) WHEN 'ARRAY' THEN '$[{i}]' ELSE '$.{c}' END) AS DOUBLE) AS {c}" for i, c in enumerate(("x1", "y1", "x2", "y2")))
+BOX_CORNERS = ", ".join(f"CAST(json_extract_string(m, CASE json_type(m) WHEN 'ARRAY' THEN '$[{i}]' ELSE '$.{c}' END) AS DOUBLE) AS {c}" for i, c in enumerate(("x1", "y1", "x2", "y2")))
 _KEPT = "id, case_id, node_id, surface, class_code, confidence"
-BOXES = f"""boxes AS (SELECT DISTINCT id, no, {ident("case_id")} AS cid, {ident("node_id")} AS nid, surface, class_code, confidence, {_CORNERS}
+BOXES = f"""boxes AS (SELECT DISTINCT id, no, {ident("case_id")} AS cid, {ident("node_id")} AS nid, surface, class_code, confidence, {BOX_CORNERS}
 FROM ({_MEMBER.format(documents("detections", "bbox_json", _KEPT))}) WHERE {BOX})"""
 
 OVERLAPS = """over AS (SELECT a.id AS a_id, a.no AS a_no, b.id AS b_id, a.class_code AS a_class, b.class_code AS b_class,
