@@ -25,6 +25,15 @@ def test_row_rules(spark):
     assert codes(spark, capture_time="2026-01-01 00:00:00Z") == {("INVALID_CAPTURE_TIME", "capture_time")}
     assert codes(spark, damage_type="D01") == {("NORMAL_WITH_DAMAGE_TYPE", "damage_type")}
     assert codes(spark, source_type="continuous_node") == {("CONTINUOUS_MISSING_SEQUENCE_ID", "sequence_id"), ("CONTINUOUS_NODE_NA", "node_id")}
+    sequence = {"source_type": "continuous_node", "sequence_id": "S-1", "node_id": "N1"}
+    broken = {"status": "abnormal", "damage_type": "D01", "severity": "light"}
+    assert codes(spark, **sequence, **broken) == {("ABNORMAL_SEQUENCE_WITH_NONE_FIRST_NODE", "first_abnormal_node")}
+    assert codes(spark, **broken) == {("ABNORMAL_WITH_NONE_FIRST_NODE", "first_abnormal_node")}
+    assert codes(spark, **broken, first_abnormal_node="UNKNOWN") == set()
+    assert codes(spark, first_abnormal_node="N1") == {("NORMAL_WITH_FIRST_ABNORMAL_NODE", "first_abnormal_node")}
+    assert codes(spark, privacy_status="pending_review") == {("PRIVACY_NOT_APPROVED", "privacy_status")}
+    assert codes(spark, damage_type="") == {("MISSING_VALUE", "damage_type")}
+    assert codes(spark, source_type="", sequence_id="S-1") == {("MISSING_VALUE", "source_type")}
     assert codes(spark, reviewer="") == {("REVIEWER_REQUIRED", "reviewer")}
     paths = {"a\\b.jpg": "PATH_BACKSLASH", "/a.jpg": "ABSOLUTE_IMAGE_PATH", "c:a.jpg": "ABSOLUTE_IMAGE_PATH", "a/../b.jpg": "PARENT_PATH_TRAVERSAL", "a/./b.jpg": "NON_CANONICAL_IMAGE_PATH", "a//b.jpg": "NON_CANONICAL_IMAGE_PATH", "a/b.gif": "UNSUPPORTED_IMAGE_EXTENSION"}
     for path, code in paths.items():

@@ -46,39 +46,57 @@ def path_issue(path: Column) -> Column:
     )
 
 
+def prepared(manifest: DataFrame) -> DataFrame:
+    """The manifest with what the rules look at, each evaluated once: the trimmed values as ``_v_``
+    and their column's name, and the path's issue as ``_path``."""
+    rows = manifest.withColumns({f"_v_{c}": value(c) for c in MANIFEST_COLUMNS})
+    return rows.withColumn("_path", F.coalesce(path_issue(F.col("_v_image_relpath")), F.lit("")))
+
+
 def row_rules() -> list[tuple[str, str, Column]]:
-    """(code, field, broken) of every rule that looks at one row only, in order."""
-    v = value
+    """(code, field, broken) of every rule that looks at one row only, in order; over ``prepared`` rows."""
+    v = lambda c: F.col(f"_v_{c}")
     rules = [("MISSING_VALUE", c, v(c) == "") for c in MANIFEST_COLUMNS if c not in OPTIONAL]
     rules += [("SCHEMA_VERSION_MISMATCH", "schema_version", (v("schema_version") != "") & (v("schema_version") != "0.1"))]
     rules += [("INVALID_ENUM", c, (v(c) != "") & ~v(c).isin(*words)) for c, words in VOCABULARIES.items()]
     rules += [("INVALID_IDENTIFIER", c, (v(c) != "") & ~v(c).rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z")) for c in IDENTIFIERS]
     rules += [("INVALID_CAPTURE_TIME", "capture_time", (v("capture_time") != "") & ~good_capture_time(v("capture_time")))]
-    rules += [(code, "image_relpath", (v("image_relpath") != "") & (F.coalesce(path_issue(v("image_relpath")), F.lit("")) == code)) for code in PATH_CODES]
-    normal, abnormal, continuous = v("status") == "normal", v("status") == "abnormal", v("source_type") == "continuous_node"
+    rules += [(code, "image_relpath", (v("image_relpath") != "") & (F.col("_path") == code)) for code in PATH_CODES]
+    normal, abnormal, first = v("status") == "normal", v("status") == "abnormal", v("first_abnormal_node")
+    continuous = v("source_type") == "continuous_node"
     rules += [
-        ("NORMAL_WITH_DAMAGE_TYPE", "damage_type", normal & (v("damage_type") != "NONE")),
-        ("NORMAL_WITH_SEVERITY", "severity", normal & (v("severity") != "none")),
+        ("NORMAL_WITH_DAMAGE_TYPE", "damage_type", normal & ~v("damage_type").isin("", "NONE")),
+        ("NORMAL_WITH_SEVERITY", "severity", normal & ~v("severity").isin("", "none")),
         ("ABNORMAL_WITHOUT_DAMAGE_TYPE", "damage_type", abnormal & (v("damage_type") == "NONE")),
         ("ABNORMAL_WITHOUT_SEVERITY", "severity", abnormal & (v("severity") == "none")),
         ("CONTINUOUS_MISSING_SEQUENCE_ID", "sequence_id", continuous & (v("sequence_id") == "")),
         ("CONTINUOUS_NODE_NA", "node_id", continuous & (v("node_id") == "NA")),
-        ("NON_CONTINUOUS_HAS_SEQUENCE_ID", "sequence_id", ~continuous & (v("sequence_id") != "")),
+        ("ABNORMAL_SEQUENCE_WITH_NONE_FIRST_NODE", "first_abnormal_node", continuous & abnormal & (first == "NONE")),
+        ("NON_CONTINUOUS_HAS_SEQUENCE_ID", "sequence_id", ~v("source_type").isin("", "continuous_node") & (v("sequence_id") != "")),
+        ("NORMAL_WITH_FIRST_ABNORMAL_NODE", "first_abnormal_node", ~continuous & normal & ~first.isin("", "NONE")),
+        ("ABNORMAL_WITH_NONE_FIRST_NODE", "first_abnormal_node", ~continuous & abnormal & (first == "NONE")),
+        ("PRIVACY_NOT_APPROVED", "privacy_status", v("privacy_status").isin("rejected", "pending_review")),
         ("ANNOTATION_NOT_READY", "annotation_status", v("split").isin(*PROTECTED_SPLITS) & ~v("annotation_status").isin("labelled", "reviewed")),
         ("REVIEWER_REQUIRED", "reviewer", (v("annotation_status") == "reviewed") & (v("reviewer") == "")),
     ]
     return rules
 
 
+def blank_warnings() -> list[tuple[str, str, Column]]:
+    """Values with surrounding blanks: warnings, which do not fail a record; over ``prepared`` rows."""
+    return [("SURROUNDING_WHITESPACE", c, F.col(c) != F.col(f"_v_{c}")) for c in MANIFEST_COLUMNS]
+
+
 #: What can be wrong with a path, in the order it is looked for.
 PATH_CODES = ("INVALID_PATH_CHARACTER", "PATH_BACKSLASH", "ABSOLUTE_IMAGE_PATH", "PARENT_PATH_TRAVERSAL", "NON_CANONICAL_IMAGE_PATH", "UNSUPPORTED_IMAGE_EXTENSION")
 
 
 def row_issues(manifest: DataFrame, rules: list[tuple[str, str, Column]] | None = None, keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
-    """One row for each broken rule: the kept columns, code, field and place of the rule."""
+    """One row for each broken rule: the kept columns, code, field and place of the rule. Null counts as
+    empty; repeated rows come out as often as they came in; an empty manifest gives no row."""
     rules = row_rules() if rules is None else rules
     found = [F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), F.lit(n).alias("place"))) for n, (code, field, broken) in enumerate(rules)]
-    rows = manifest.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("i"))
+    rows = prepared(manifest).select(*keep, F.explode(F.array_compact(F.array(*found))).alias("i"))
     return rows.select(*keep, "i.code", "i.field", "i.place")
 
 

@@ -39,13 +39,17 @@ WHEN regexp_matches({_v("image_relpath")}, '(^|/)\\.\\.(/|$)') THEN 'PARENT_PATH
 WHEN regexp_matches({_v("image_relpath")}, '(^|/)\\.?(/|$)') THEN 'NON_CANONICAL_IMAGE_PATH'
 WHEN NOT regexp_matches({_v("image_relpath")}, '\\.(jpg|jpeg|png|bmp|tif|tiff|webp)$', 'i') THEN 'UNSUPPORTED_IMAGE_EXTENSION' END"""
 _CONDITIONS = {
-    ("NORMAL_WITH_DAMAGE_TYPE", "damage_type"): f"{_v('status')} = 'normal' AND {_v('damage_type')} <> 'NONE'",
-    ("NORMAL_WITH_SEVERITY", "severity"): f"{_v('status')} = 'normal' AND {_v('severity')} <> 'none'",
+    ("NORMAL_WITH_DAMAGE_TYPE", "damage_type"): f"{_v('status')} = 'normal' AND {_v('damage_type')} NOT IN ('', 'NONE')",
+    ("NORMAL_WITH_SEVERITY", "severity"): f"{_v('status')} = 'normal' AND {_v('severity')} NOT IN ('', 'none')",
     ("ABNORMAL_WITHOUT_DAMAGE_TYPE", "damage_type"): f"{_v('status')} = 'abnormal' AND {_v('damage_type')} = 'NONE'",
     ("ABNORMAL_WITHOUT_SEVERITY", "severity"): f"{_v('status')} = 'abnormal' AND {_v('severity')} = 'none'",
     ("CONTINUOUS_MISSING_SEQUENCE_ID", "sequence_id"): f"{_v('source_type')} = 'continuous_node' AND {_v('sequence_id')} = ''",
     ("CONTINUOUS_NODE_NA", "node_id"): f"{_v('source_type')} = 'continuous_node' AND {_v('node_id')} = 'NA'",
-    ("NON_CONTINUOUS_HAS_SEQUENCE_ID", "sequence_id"): f"{_v('source_type')} <> 'continuous_node' AND {_v('sequence_id')} <> ''",
+    ("ABNORMAL_SEQUENCE_WITH_NONE_FIRST_NODE", "first_abnormal_node"): f"{_v('source_type')} = 'continuous_node' AND {_v('status')} = 'abnormal' AND {_v('first_abnormal_node')} = 'NONE'",
+    ("NON_CONTINUOUS_HAS_SEQUENCE_ID", "sequence_id"): f"{_v('source_type')} NOT IN ('', 'continuous_node') AND {_v('sequence_id')} <> ''",
+    ("NORMAL_WITH_FIRST_ABNORMAL_NODE", "first_abnormal_node"): f"{_v('source_type')} <> 'continuous_node' AND {_v('status')} = 'normal' AND {_v('first_abnormal_node')} NOT IN ('', 'NONE')",
+    ("ABNORMAL_WITH_NONE_FIRST_NODE", "first_abnormal_node"): f"{_v('source_type')} <> 'continuous_node' AND {_v('status')} = 'abnormal' AND {_v('first_abnormal_node')} = 'NONE'",
+    ("PRIVACY_NOT_APPROVED", "privacy_status"): f"{_v('privacy_status')} IN ('rejected', 'pending_review')",
     ("ANNOTATION_NOT_READY", "annotation_status"): f"{_v('split')} IN ('train', 'val', 'test') AND {_v('annotation_status')} NOT IN ('labelled', 'reviewed')",
     ("REVIEWER_REQUIRED", "reviewer"): f"{_v('annotation_status')} = 'reviewed' AND {_v('reviewer')} = ''",
 }
@@ -75,7 +79,8 @@ _GROUPS = {
     "rule_regex": ("INVALID_IDENTIFIER",),
     "rule_timestamp": ("INVALID_CAPTURE_TIME",),
     "rule_path": rules.PATH_CODES,
-    "rule_conditional": tuple(code for code, _ in _CONDITIONS),
+    "rule_conditional": tuple(code for code, _ in _CONDITIONS if code != "PRIVACY_NOT_APPROVED"),
+    "rule_privacy": ("PRIVACY_NOT_APPROVED",),
 }
 for _name, _codes in _GROUPS.items():
 
@@ -84,11 +89,13 @@ for _name, _codes in _GROUPS.items():
         return rules.row_issues(_manifest(spark, directory), _chosen(*codes)).select("record_id", "code", "field")
 
 
-@registry.query(sql=_union([f"SELECT record_id, '{c}' AS field FROM manifest WHERE {c} <> {_v(c)}" for c in rules.MANIFEST_COLUMNS]))
+_WARNINGS = _union([f"SELECT record_id, '{c}' AS field FROM manifest WHERE {c} <> {_v(c)}" for c in rules.MANIFEST_COLUMNS])
+
+
+@registry.query(sql=_WARNINGS)
 def rule_whitespace(spark: SparkSession, directory: str) -> DataFrame:
     """Values with surrounding blanks."""
-    broken = [("SURROUNDING_WHITESPACE", c, F.col(c) != value(c)) for c in rules.MANIFEST_COLUMNS]
-    return rules.row_issues(_manifest(spark, directory), broken).select("record_id", "field")
+    return rules.row_issues(_manifest(spark, directory), rules.blank_warnings()).select("record_id", "field")
 
 
 @registry.query(sql=f"SELECT record_id, arg_min(code, place) AS code, arg_min(field, place) AS field, count(*) AS issues FROM ({_ALL}) GROUP BY record_id")
@@ -97,12 +104,23 @@ def rule_first_issue(spark: SparkSession, directory: str) -> DataFrame:
     return issues.groupBy("record_id").agg(F.min_by("code", "place").alias("code"), F.min_by("field", "place").alias("field"), F.count(F.lit(1)).alias("issues"))
 
 
-@registry.query(sql=f"SELECT (SELECT count(*) FROM manifest) AS total, (SELECT count(DISTINCT record_id) FROM ({_ALL})) AS failed, (SELECT count(*) FROM ({_ALL})) AS errors")
+@registry.query(
+    sql=f"""SELECT (SELECT count(*) FROM manifest) AS total, (SELECT count(DISTINCT record_id) FROM ({_ALL})) AS failed,
+(SELECT count(*) FROM ({_ALL})) AS errors, (SELECT count(*) FROM ({_WARNINGS})) AS warnings, NOT EXISTS (SELECT 1 FROM ({_ALL})) AS valid"""
+)
 def rule_summary(spark: SparkSession, directory: str) -> DataFrame:
-    """Rows, records with an issue, and issues: each row counts its own issues, nothing is joined."""
-    broken = F.aggregate(F.array(*(rule[2].cast("int") for rule in rules.row_rules())), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    rows = _manifest(spark, directory).select("record_id", broken.alias("n"))
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(F.when(F.col("n") > 0, F.col("record_id"))).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("errors"))
+    """Rows, records with an error, errors, warnings and whether there is no error: each row counts its
+    own, nothing is joined."""
+    count = lambda own: F.aggregate(F.array(*(rule[2].cast("int") for rule in own)), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    rows = rules.prepared(_manifest(spark, directory)).select("record_id", count(rules.row_rules()).alias("n"), count(rules.blank_warnings()).alias("w"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_distinct(F.when(F.col("n") > 0, F.col("record_id"))).alias("failed"),
+        total("n").alias("errors"),
+        total("w").alias("warnings"),
+        (total("n") == 0).alias("valid"),
+    )
 
 
 @registry.query(
