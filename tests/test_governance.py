@@ -49,3 +49,10 @@ def test_verdict_is_the_worst_flag(spark):
     df = spark.createDataFrame([(1, True), (5, True), (9, False), (None, None)], "v int, ok boolean")
     flags = [("LOW", "WARN", F.col("v") < 3), ("BAD", "FAIL", ~F.col("ok"))]
     assert [(r.flags, r.verdict) for r in g.judged(df, flags).collect()] == [("LOW", "WARN"), ("", "PASS"), ("BAD", "FAIL"), ("", "PASS")]
+
+
+def test_a_stratum_is_cut_before_it_is_ranked_as_a_whole(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 2 AS s")
+    out = g.stratified(rows, F.when(F.col("s") == 0, "even").otherwise("odd"), {"even": 5, "odd": 9}, "id", "seed")
+    assert "WindowGroupLimit" in out._jdf.queryExecution().toString()
+    assert sorted(r["count"] for r in out.groupBy("stratum").count().collect()) == [5, 9]

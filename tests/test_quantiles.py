@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -25,3 +26,14 @@ def test_large_groups_as_small_ones(spark, by):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert quantiles.percentiles(df, F.col("v"), ["g"], [0.5]).count() == quantiles.percentiles(df, F.col("v"), [], [0.5]).count() == 0
+
+
+def test_nearest_ranks_of_small_and_large_groups(spark):
+    rng = random.Random(8)
+    rows = [(g, float(rng.randrange(50))) for g, n in (("a", 3), ("b", 200), (None, 77)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for one_task in (1, 100, 1_000):
+        found = {r.g: r.p for r in quantiles.percentiles(df, F.col("v"), ["g"], [0.1, 0.9], one_task, nearest=True).collect()}
+        for g in ("a", "b", None):
+            own = sorted(v for k, v in rows if k == g)
+            assert found[g] == [own[max(0, math.ceil(len(own) * p - 1e-9) - 1)] for p in (0.1, 0.9)]

@@ -29,7 +29,9 @@ def stratified(rows: DataFrame, stratum: Column, sizes: dict[str, int], key: str
     keep = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(n))])
     rows = rows.withColumn("stratum", stratum).where(F.col("stratum").isin(*sizes)).withColumn("_rank", sample_rank(seed, F.col(key)))
     order = Window.partitionBy("stratum").orderBy("_rank", key)
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep[F.col("stratum")]).drop("_rank")
+    # a limit that is a literal is applied before the shuffle and within the sort
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(sizes.values(), default=0))
+    return rows.where(F.col("place") <= keep[F.col("stratum")]).drop("_rank")
 
 
 def duplicate_groups(rows: DataFrame, content: Column, path: str, key: str) -> DataFrame:

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritrail.functions.idents import identifier, micros
 
@@ -117,7 +116,7 @@ class _Range:
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by range, chunk and kind (targets before references)."""
-    schema = pa.schema([("code", pa.int32()), ("child_id", pa.int64())])
+    schema = pa.schema([("code", pa.int32()), ("child_id", pa.int64()), ("t", pa.int64())])
     here, parts, arrays = None, [], None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -137,11 +136,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 arrays = _Range(parts)
             missed = arrays.misses(h, g, t)
             if missed.any():
-                yield pa.RecordBatch.from_arrays([pa.array(code[missed], pa.int32()), pa.array(child[missed], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(code[missed], pa.int32()), pa.array(child[missed], pa.int64()), pa.array(t[missed], pa.int64())], schema=schema)
 
 
 def find_orphans(references: list[Reference], targets: list[Target]) -> DataFrame:
-    """References without a living target: child_table, child_id, ref_field, each once.
+    """References without a living target: child_table, child_id, ref_field, each once, and ``at``, the
+    earliest time at which the child refers to what is not there, null if it has none.
 
     A key with a null, empty or blank part is no reference. A reference without a time is taken
     to stand at the end of time, a target without a time of creation never existed, and an empty
@@ -188,12 +188,14 @@ def find_orphans(references: list[Reference], targets: list[Target]) -> DataFram
     misses = (
         rows.repartition(partitions, "range", "chunk")
         .sortWithinPartitions("range", "chunk", "kind")
-        .mapInArrow(_probe, T.StructType([T.StructField("code", T.IntegerType()), T.StructField("child_id", T.LongType())]))
-        .distinct()
+        .mapInArrow(_probe, "code int, child_id bigint, t bigint")
+        .groupBy("code", "child_id")
+        .agg(F.min("t").alias("t"))
     )
     literal = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("code") + 1)
     return misses.select(
-        literal([r.child_table for r in references]).alias("child_table"), "child_id", literal([r.ref_field for r in references]).alias("ref_field")
+        literal([r.child_table for r in references]).alias("child_table"), "child_id", literal([r.ref_field for r in references]).alias("ref_field"),
+        F.when(F.col("t") < _FOREVER - 1, F.timestamp_micros("t")).alias("at"),
     )
 
 
@@ -209,11 +211,6 @@ def evidence_orphans(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def orphans_by_period(tables: dict[str, DataFrame]) -> DataFrame:
-    """Orphans counted per child_table, ref_field and month of the child's created_at."""
-    orphans = evidence_orphans(tables)
-    parts = []
-    for name in ("detections", "pair_changes"):
-        times = tables[name].groupBy(F.col("id").alias("child_id")).agg(F.min("created_at").alias("created_at"))
-        own = orphans.where(F.col("child_table") == name).join(times, "child_id")
-        parts.append(own.select("child_table", "ref_field", F.date_format("created_at", "yyyy-MM").alias("month")))
-    return parts[0].unionAll(parts[1]).groupBy("child_table", "ref_field", "month").agg(F.count(F.lit(1)).alias("orphans"))
+    """Orphans counted per child_table, ref_field and month of the child's created_at, which the probe gives."""
+    month = F.date_format("at", "yyyy-MM").alias("month")
+    return evidence_orphans(tables).groupBy("child_table", "ref_field", month).agg(F.count(F.lit(1)).alias("orphans"))

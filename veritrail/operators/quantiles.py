@@ -14,9 +14,10 @@ from veritrail.session import cut
 ONE_TASK, BINS = 5_000_000, 4096
 
 
-def percentiles(rows: DataFrame, value: Column, by: list[str], wanted: list[float], one_task: int | None = None) -> DataFrame:
+def percentiles(rows: DataFrame, value: Column, by: list[str], wanted: list[float], one_task: int | None = None, nearest: bool = False) -> DataFrame:
     """``by`` and ``p``, the array of linearly interpolated percentiles of each group, as
-    ``percentile`` gives them; nulls are left out and a group without values has no row.
+    ``percentile`` gives them, or with ``nearest`` the values at the nearest ranks above, as
+    ``percentile_disc`` does; nulls are left out and a group without values has no row.
 
     A group of more than ``one_task`` values is not gathered: the values at the ranks that are
     needed are found by counting bins of the interval that holds them, again and again, until the
@@ -32,11 +33,16 @@ def percentiles(rows: DataFrame, value: Column, by: list[str], wanted: list[floa
     keys = by or ["_all"]
     large = cut(large)
     exact = F.percentile("_v", F.array(*map(F.lit, wanted))).alias("p")
+    if nearest:
+        exact = F.array(*(F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY _v)") for p in wanted)).alias("p")
     if large.isEmpty():
-        return rows.groupBy(*by).agg(exact).where(F.col("p").isNotNull())
-    few = null_safe(rows, large, keys, "left_anti").groupBy(*keys).agg(exact).where(F.col("p").isNotNull())
+        return rows.groupBy(*by).agg(exact).where(F.col("p").isNotNull() & F.col("p")[0].isNotNull())
+    few = null_safe(rows, large, keys, "left_anti").groupBy(*keys).agg(exact).where(F.col("p").isNotNull() & F.col("p")[0].isNotNull())
 
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("_n") - 1) * p), F.ceil((F.col("_n") - 1) * p)) for p in wanted))))
+    def rank(p: float) -> Column:
+        return F.greatest(F.ceil(F.col("_n") * p) - 1, F.lit(0)) if nearest else (F.col("_n") - 1) * F.lit(p)
+
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(rank(p)), F.ceil(rank(p))) for p in wanted))))
     open_ = large.select(*keys, F.explode(ranks).alias("_q_rank")).withColumns({"_q_low": F.lit(float("-inf")), "_q_high": F.lit(float("inf")), "_q_before": F.lit(0).cast("long")})
     found = []
     while not open_.isEmpty():
@@ -59,10 +65,9 @@ def percentiles(rows: DataFrame, value: Column, by: list[str], wanted: list[floa
     whole = null_safe(values, large, keys)
 
     def at(p: float) -> Column:
-        place = (F.col("_n") - 1) * F.lit(p)
-        low, high = F.floor(place), F.ceil(place)
+        low, high = F.floor(rank(p)), F.ceil(rank(p))
         # the same interpolation as that of percentile
-        return F.when(low == high, F.col("_q_m")[low]).otherwise((high - place) * F.col("_q_m")[low] + (place - low) * F.col("_q_m")[high])
+        return F.when(low == high, F.col("_q_m")[low]).otherwise((high - rank(p)) * F.col("_q_m")[low] + (rank(p) - low) * F.col("_q_m")[high])
 
     many = whole.select(*keys, F.array(*map(at, wanted)).alias("p"))
     return few.unionByName(many).select(*by, "p")

@@ -94,9 +94,10 @@ PATH_CODES = ("INVALID_PATH_CHARACTER", "PATH_BACKSLASH", "ABSOLUTE_IMAGE_PATH",
 def row_issues(manifest: DataFrame, rules: list[tuple[str, str, Column]] | None = None, keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """One row for each broken rule: the kept columns, code, field and place of the rule. Null counts as
     empty; repeated rows come out as often as they came in; an empty manifest gives no row."""
-    rules = row_rules() if rules is None else rules
+    if rules is None:
+        manifest, rules = prepared(manifest), row_rules()
     found = [F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), F.lit(n).alias("place"))) for n, (code, field, broken) in enumerate(rules)]
-    rows = prepared(manifest).select(*keep, F.explode(F.array_compact(F.array(*found))).alias("i"))
+    rows = manifest.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("i"))
     return rows.select(*keep, "i.code", "i.field", "i.place")
 
 

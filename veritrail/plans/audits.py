@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as geo
 from veritrail.functions.idents import identifier
-from veritrail.operators import boxes, nested, rules
+from veritrail.operators import boxes, nested, quantiles, rules
 from veritrail.operators.bad_rows import good_capture_time
 from veritrail.operators.sequence import node_number
 from veritrail.plans.registry import Registry
@@ -100,8 +100,10 @@ def set_union_missing(spark: SparkSession, directory: str) -> DataFrame:
 def stat_failure_rate(spark: SparkSession, directory: str) -> DataFrame:
     """Unsure detections by size."""
     failed = F.count_distinct(F.when(F.col("confidence") < 0.6, F.col("id")))
-    rows = _labelled(spark, directory).groupBy("quartile")
-    return rows.agg(_n().alias("n"), failed.alias("failed"), F.round(failed / F.count_distinct("id"), 6).alias("rate"), F.round(F.percentile("confidence", F.lit(0.5)), 6).alias("median_confidence"))
+    rows = _labelled(spark, directory)
+    medians = quantiles.percentiles(rows, F.col("confidence"), ["quartile"], [0.5])
+    counts = rows.groupBy("quartile").agg(_n().alias("n"), failed.alias("failed"), F.round(failed / F.count_distinct("id"), 6).alias("rate"))
+    return counts.join(medians, "quartile", "left").select("quartile", "n", "failed", "rate", F.round(F.col("p")[0], 6).alias("median_confidence"))
 
 
 @registry.query(

@@ -166,7 +166,7 @@ def p3_unreadable(spark: SparkSession, directory: str) -> DataFrame:
 
 @registry.query(sql=f"SELECT DISTINCT child_table, child_id, ref_field FROM ({_ORPHANS})")
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    return orphans.evidence_orphans(_evidence(spark, directory))
+    return orphans.evidence_orphans(_evidence(spark, directory)).drop("at")
 
 
 @registry.query(

@@ -86,7 +86,7 @@ for _name, _codes in _GROUPS.items():
 
     @registry.query(name=_name, sql=_chosen_sql(*_codes))
     def _rule(spark: SparkSession, directory: str, codes: tuple[str, ...] = _codes) -> DataFrame:
-        return rules.row_issues(_manifest(spark, directory), _chosen(*codes)).select("record_id", "code", "field")
+        return rules.row_issues(rules.prepared(_manifest(spark, directory)), _chosen(*codes)).select("record_id", "code", "field")
 
 
 _WARNINGS = _union([f"SELECT record_id, '{c}' AS field FROM manifest WHERE {c} <> {_v(c)}" for c in rules.MANIFEST_COLUMNS])
@@ -95,7 +95,7 @@ _WARNINGS = _union([f"SELECT record_id, '{c}' AS field FROM manifest WHERE {c} <
 @registry.query(sql=_WARNINGS)
 def rule_whitespace(spark: SparkSession, directory: str) -> DataFrame:
     """Values with surrounding blanks."""
-    return rules.row_issues(_manifest(spark, directory), rules.blank_warnings()).select("record_id", "field")
+    return rules.row_issues(rules.prepared(_manifest(spark, directory)), rules.blank_warnings()).select("record_id", "field")
 
 
 @registry.query(sql=f"SELECT record_id, arg_min(code, place) AS code, arg_min(field, place) AS field, count(*) AS issues FROM ({_ALL}) GROUP BY record_id")

@@ -317,8 +317,14 @@ def sim_knn_ratio(spark: SparkSession, directory: str) -> DataFrame:
     sql="""SELECT source_id, quantile_disc(file_size_bytes, 0.9) AS p90, median(file_size_bytes) AS p50 FROM external_manifest GROUP BY 1"""
 )
 def pct_nearest_rank(spark: SparkSession, directory: str) -> DataFrame:
-    rows = table(spark, directory, "external_manifest").groupBy("source_id")
-    return rows.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY file_size_bytes)").cast("long").alias("p90"), F.percentile("file_size_bytes", F.lit(0.5)).alias("p50"))
+    """Nearest-rank and interpolated percentiles of a source's files, however many it has."""
+    rows = table(spark, directory, "external_manifest").select("source_id", "file_size_bytes")
+    size = F.col("file_size_bytes")
+    p90 = quantiles.percentiles(rows, size, ["source_id"], [0.9], nearest=True).select("source_id", F.col("p")[0].cast("long").alias("p90"))
+    p50 = quantiles.percentiles(rows, size, ["source_id"], [0.5]).select("source_id", F.col("p")[0].alias("p50"))
+    found = null_safe(p90, p50, ["source_id"])
+    # a source without sizes has no percentiles
+    return null_safe(rows.select("source_id").distinct(), found, ["source_id"], "left").select("source_id", "p90", "p50")
 
 
 @registry.query(
