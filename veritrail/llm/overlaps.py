@@ -34,7 +34,7 @@ def _records(manifest: DataFrame) -> DataFrame:
 
 def _overlaps(manifest: DataFrame) -> DataFrame:
     """``overlaps`` of which a pair may come out more than once."""
-    records = _records(manifest)
+    records = cut(_records(manifest))  # read for both kinds of contents, each counted and joined
     train, held = records.where(F.col("split") == "train"), records.where(F.col("split") != "train")
     side = lambda df, name, content: df.select(F.col("id").alias(f"{name}_id"), F.col(content).alias(name)).where(F.col(name).isNotNull()).distinct()
     same = joined(*(side(df, name, "digest").withColumnRenamed(name, "digest") for df, name in ((held, "a"), (train, "b"))), ["digest"]).drop("digest")
