@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritrail.llm import overlaps, segments
 
@@ -79,6 +80,37 @@ def test_against_brute_force(spark, monkeypatch, rows_per_block):
     assert run(spark, rows) == brute([r for r in rows if r[0] is not None])
 
 
+def test_nothing_is_broadcast_and_keys_are_not_shuffled(spark):
+    rng = random.Random(3)
+    rows = [(f"R{n}", "train" if n % 2 else "test", "s", f"{rng.getrandbits(256):064x}", rng.getrandbits(63)) for n in range(40)]
+    rows += [(f"C{i}", "train", "s", d, flip(p, [0, 9])) for i, s, _, d, p in rows if s == "test"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    near = segments.close_pairs(*(spark.createDataFrame([(r[4],) for r in rows if (r[1] == "test") == (c == "a")], f"{c} bigint") for c in "ab"))
+    found = overlaps.overlap_pairs(spark.createDataFrame([(*r, 1, "k", 2) for r in rows], COLUMNS))
+    for df in (near, found):
+        assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
+        assert len(df.collect()) == 20  # and what it was changed to while it ran
+        assert "Broadcast" not in plan(df)
+    assert "key#" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("classes, named", [(1, 0), (1, 9), (64, 9), (64, 0)])
+def test_hot_keys_are_found_whatever_their_classes(spark, monkeypatch, classes, named):
+    monkeypatch.setattr(segments, "MOST_CLASSES", named)
+    left, right = (spark.createDataFrame([(k, n) for k, many in sizes for n in range(many)], "k string, n int") for sizes in ([("x", 9), ("y", 1), ("w", 9)], [("x", 5), ("y", 1), ("z", 7)]))
+    a, b, by = segments.blocked(left, right, ["k"], 2, classes)
+    assert by == ["k", "block"] and max(r[2] for r in a.where("k = 'x'").groupBy(*by).count().collect()) < 9
+    assert a.join(b, by).count() == 9 * 5 + 1
+    cold = segments.blocked(left, right, ["k"], 9, classes)
+    assert cold[2] == ["k"] and cold[0] is left
+
+
+def test_packed_digests_are_told_apart(spark):
+    digests = ["ab" * 32, "ab" * 31, "cd", "\x00\xcd", "\u00cd", "c", "cg", "not hexadecimal", "0" * 64, "0" * 62, "\x01cd", None]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in digests], "d string").select(overlaps.packed(F.col("d"))).collect()]
+    assert got[-1] is None and len(set(map(bytes, got[:-1]))) == len(digests) - 1 and len(got[0]) == 33
+
+
 def test_edges(spark):
     assert run(spark, []) == set()
     assert run(spark, [("a", "train", "s", None, None), ("b", "test", "s", None, None)]) == set()

@@ -27,6 +27,8 @@ from veritrail.session import cut
 BITS, WITHIN = 63, 6
 #: Rows of one key on one side that are joined in one block.
 BLOCK_ROWS = 20_000
+#: Classes of keys, at least, and how many hot ones are looked for by name; if there are more, all keys are counted.
+CLASSES, MOST_CLASSES = 1 << 18, 1_000
 #: What verifying a candidate costs, in rows looked up by one key, and the most segments.
 CANDIDATE_COST, MOST_SEGMENTS = 1 / 16, 31
 
@@ -70,29 +72,45 @@ def first_shared(left: Column, right: Column, segments: int, bits: int = BITS, w
     return out
 
 
-def blocked(left: DataFrame, right: DataFrame, key: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``block``: a key of more than ``rows`` rows on either side is cut into
+def blocked(left: DataFrame, right: DataFrame, key: list[str], rows: int | None = None, classes: int = CLASSES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and what to join them by. A key of more than ``rows`` rows on either side is cut into
     blocks on both, and each block of one side meets each of the other once, so no task gets a
-    whole hot key. Hot keys are at most one in ``rows`` rows; they are counted with partial sums."""
+    whole hot key; ``block`` is then joined by too. Rows that are the same are in the same blocks.
+
+    Hot keys are at most one in ``rows`` rows. They are counted with partial sums, first all rows by
+    classes of keys, of which no key counts more than its class, then the keys of hot classes."""
     rows = BLOCK_ROWS if rows is None else rows
-    side = lambda df, l, r: df.select(*key, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
-    hot = side(left, 1, 0).unionAll(side(right, 0, 1)).groupBy(*key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-    hot = hot.where((F.col("_l") > 0) & (F.col("_r") > 0) & ((F.col("_l") > rows) | (F.col("_r") > rows)))
+    of = F.pmod(F.xxhash64(*key), F.lit(classes))
+
+    def counted(by: list[Column], kept: Column | None = None) -> DataFrame:
+        sides = [df if kept is None else df.where(kept) for df in (left, right)]
+        each = [df.select(*by, F.lit(l).alias("_l"), F.lit(r).alias("_r")) for df, l, r in zip(sides, (1, 0), (0, 1))]
+        sums = each[0].unionAll(each[1]).groupBy(*each[0].columns[:-2]).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        return sums.where((F.col("_l") > 0) & (F.col("_r") > 0) & ((F.col("_l") > rows) | (F.col("_r") > rows)))
+
+    found = [r[0] for r in counted([of.alias("_class")]).select("_class").limit(MOST_CLASSES + 1).collect()]
+    if not found:
+        return left, right, key
+    hot = counted([F.col(k) for k in key], of.isin(found) if len(found) <= MOST_CLASSES else None)
     hot = cut(hot.select(*key, *(F.ceil(F.col(c) / rows).cast("int").alias(c) for c in ("_l", "_r"))))
     if hot.isEmpty():
-        return left.withColumn("block", F.lit(0)), right.withColumn("block", F.lit(0))
+        return left, right, key
     l, r = F.coalesce("_l", F.lit(1)), F.coalesce("_r", F.lit(1))  # noqa: E741
     own = lambda df, n: F.pmod(F.hash(*df.columns), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     a = left.join(hot, key, "left").withColumn("_own", own(left, l)).withColumn("_other", every(r)).withColumn("block", F.col("_own") * r + F.col("_other"))
     b = right.join(hot, key, "left").withColumn("_own", own(right, r)).withColumn("_other", every(l)).withColumn("block", F.col("_other") * r + F.col("_own"))
-    return tuple(df.drop("_l", "_r", "_own", "_other") for df in (a, b))
+    return *(df.drop("_l", "_r", "_own", "_other") for df in (a, b)), [*key, "block"]
 
 
 def joined(left: DataFrame, right: DataFrame, key: list[str], rows: int | None = None) -> DataFrame:
-    """Inner join of which no task gets a whole hot key."""
-    left, right = blocked(left, right, key, rows)
-    return left.join(right, [*key, "block"]).drop("block")
+    """Inner join of the different rows of both sides, of which no task gets a whole hot key.
+
+    A side is shuffled once, for both, and none is ever sent to the driver to be broadcast: Spark's
+    estimates are of the files, not of the rows."""
+    left, right, key = blocked(left, right, key, rows)
+    left, right = (df.repartition(*key).distinct() for df in (left, right))
+    return left.hint("merge").join(right, key).drop("block")
 
 
 def close_pairs(left: DataFrame, right: DataFrame, bits: int = BITS, within: int = WITHIN) -> DataFrame:
@@ -102,7 +120,20 @@ def close_pairs(left: DataFrame, right: DataFrame, bits: int = BITS, within: int
     several keys comes out at the first.
     """
     sides = [cut(df.select(c).where(F.col(c).isNotNull()).distinct()) for df, c in ((left, "a"), (right, "b"))]
-    segments = segments_for(*(df.count() for df in sides), bits, within)
+    counts = [df.count() for df in sides]
+    segments = segments_for(*counts, bits, within)
+    numbers = len(masks(segments, bits, within))
     a, b = (keyed(df, df.columns[0], segments, bits, within) for df in sides)
-    pairs = joined(a, b, ["g", "key"]).where(close(F.col("a"), F.col("b"), within))
+    classes = max(CLASSES, numbers * sum(counts) // (BLOCK_ROWS // 16 or 1))
+    a, b, by = blocked(a, b, ["g", "key"], classes=classes)
+    # rows are shuffled without their keys, which are long; sorting by one number is faster, and unequal keys of one number are told apart
+    by = ["g", *by[2:]]
+    a, b = a.drop("key"), b.drop("key").withColumnsRenamed({c: f"_{c}" for c in by})
+    mask = F.array(*(F.lit(m).cast("long") for m in masks(segments, bits, within)))
+    number = lambda value, g, *block: F.xxhash64(g, F.col(value).bitwiseAND(F.get(mask, F.col(g).cast("int"))), *block)
+    met = number("a", *by) == number("b", *(f"_{c}" for c in by))
+    for c in by:
+        met &= F.col(c).bitwiseXOR(F.col(f"_{c}")) == 0
+    met &= close(F.col("a"), F.col("b"), within)
+    pairs = a.hint("merge").join(b, met)  # as in joined
     return pairs.where(first_shared(F.col("a"), F.col("b"), segments, bits, within) == F.col("g")).select("a", "b")
